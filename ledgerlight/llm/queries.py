@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_ann
 from .mixing import op3_mixing
+from .mtree import op8_mtree
 from .sharding import op1_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_ann": op2_ann,
     "op3_mixing": op3_mixing,
+    "op8_mtree": op8_mtree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
