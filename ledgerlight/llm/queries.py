@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op2_ann
 from .mixing import op3_mixing
 from .mtree import op8_mtree
+from .neardup import op9_neardup
 from .sharding import op1_sharding
+from .suffix import op7_suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ann": op2_ann,
     "op3_mixing": op3_mixing,
+    "op7_suffix": op7_suffix,
     "op8_mtree": op8_mtree,
+    "op9_neardup": op9_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
