@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op2_ann
+from .language import op6_language
 from .mixing import op3_mixing
 from .mtree import op8_mtree
 from .neardup import op9_neardup
+from .packing import op5_packing
+from .pii import op10_pii
 from .sharding import op1_sharding
 from .suffix import op7_suffix
 
@@ -17,9 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ann": op2_ann,
     "op3_mixing": op3_mixing,
+    "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_suffix": op7_suffix,
     "op8_mtree": op8_mtree,
     "op9_neardup": op9_neardup,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
