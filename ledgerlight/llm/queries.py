@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op2_ann
 from .language import op6_language
+from .lines import op4_lines
 from .mixing import op3_mixing
 from .mtree import op8_mtree
 from .neardup import op9_neardup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ann": op2_ann,
     "op3_mixing": op3_mixing,
+    "op4_lines": op4_lines,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_suffix": op7_suffix,
