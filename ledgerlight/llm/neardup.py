@@ -8,11 +8,12 @@ the signature one has at most distance // m wrong symbols; m is the least number
 MOST_ERRORS. Each chunk gives one key for every way to blank that many of its symbols, so two
 signatures within the distance share a key for certain.
 
-Equal sets are one node. Within a bucket (the nodes of a key) every node is first held against
-the bucket's least node only; those links make components. Then, in buckets that still hold
-several components, nodes of different components are held against each other. Pairs that are
-already connected are never formed, so a group of n near copies costs n pairs for each key, not
-n squared. Every link is confirmed on the full sets.
+Equal sets are one node. The nodes of a key (a bucket) that are within the distance form trees: each
+node is held only against those that no tree has reached, so a group of n near copies costs about n
+comparisons for each key, and gives n edges, not n squared. The trees of all buckets join to
+families. Within a family, every pair's sets are intersected in full, as products of incidence
+matrices, and again only a spanning forest of the links leaves the task. Large buckets and
+families are dealt to cells of bounded size.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .shingles import mixed, overlap, shingle_sets
+from .shingles import mixed, overlaps, shingle_sets
 
 HASHES, MOST_ERRORS, DEVIATIONS = 64, 1, 5.0
-#: Texts that one confirming group holds besides its leader's, and nodes of one side of a block.
-CELL, BLOCK = 256, 512
+#: Signatures of a bucket, and texts of a family, in one block; a cell holds two blocks at most.
+SIGNATURES, TEXTS = 4096, 512
 
 _RNG = np.random.default_rng(99173)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,13 +84,13 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(made, "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
-def components(nodes: DataFrame, links: DataFrame, what: str) -> DataFrame:
-    """nodes (node) and links (a, b) to node, component: the least node reachable.
+def components(links: DataFrame, what: str) -> DataFrame:
+    """links (a, b) to node, component for all their nodes: the least node reachable.
 
     Each round, a node takes the least label among its neighbours and itself, then the label of
     that label; the rounds end when no label changes.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), what + "-links")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), what)
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), what + "-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -99,96 +100,87 @@ def components(nodes: DataFrame, links: DataFrame, what: str) -> DataFrame:
         changed = new.filter("old <> label").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+            return labels.select("node", F.col("label").alias("component"))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
-    """pairs (a, b) whose full sets have 100 * intersection >= share * union."""
-    cells = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    dealt = written(pairs.join(cells, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")).select("a", "b", "cell"), "near-cells")
-    asked = dealt.select("a", "cell", F.col("b").alias("node")).unionByName(dealt.select("a", "cell", F.col("a").alias("node")).distinct())
-
-    def held(g: pd.DataFrame) -> pd.DataFrame:
-        lead, cell = int(g["a"].iloc[0]), int(g["cell"].iloc[0])
-        g = g.drop_duplicates("node")
-        sets = dict(zip(g["node"].tolist(), shingle_sets([None if t is None else t.encode() for t in g["text"]], k), strict=True))
-        own, out = sets[lead], []
-        for node, s in sets.items():
-            if node == lead:
-                continue
-            least = min(len(own), len(s))
-            if 100 * least < share * max(len(own), len(s)):
-                continue
-            both = overlap(own, s)
-            if 100 * both >= share * (len(own) + len(s) - both):
-                out.append(node)
-        return pd.DataFrame({"a": [lead] * len(out), "b": out}, dtype="int64") if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-
-    return asked.join(texts, "node").groupBy("a", "cell").applyInPandas(held, "a long, b long")
-
-
-def _close(pairs: DataFrame, sigs: DataFrame, distance: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `distance` symbols."""
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                a, b = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
-                yield p.loc[(a != b).sum(axis=1) <= distance, ["a", "b"]]
-
-    sa, sb = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInPandas(near, "a long, b long")
+def _cells(members: DataFrame, group: str, block: int) -> DataFrame:
+    """members with cells (i, j) of their group added: every two members of a group share one.
 
+    A group of up to `block` members is one cell. A larger one is dealt at random to blocks, and each two
+    blocks, and each block with itself, are a cell.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
 
-def _cross_pairs(members: DataFrame, distance: int) -> DataFrame:
-    """members (key, node, component, sig) to pairs of a key's nodes in different components within the distance.
 
-    Large buckets are held against themselves in blocks.
-    """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig"
-    )
+def _grouped(rows: DataFrame, group: str, within) -> DataFrame:
+    """Edges (a, b) that within(frame) gives for each cell, cells of a partition one after the other."""
+    keys = [group, "i", "j"]
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
         def ready(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            bounds = np.flatnonzero((g[["key", "i", "j"]].to_numpy()[1:] != g[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *bounds], [*bounds, len(g)], strict=True):
-                if b - a > 1:
-                    yield _within(g.iloc[a:b], distance)
+            at = g[keys].to_numpy()
+            bounds = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+            found = [within(g.iloc[x:y]) for x, y in zip([0, *bounds], [*bounds, len(g)], strict=True) if y - x > 1]
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
         for b in batches:
             rest = b if rest is None else pd.concat([rest, b])
             if len(rest) > 1:
-                last = (rest[["key", "i", "j"]].to_numpy() == rest[["key", "i", "j"]].to_numpy()[-1]).all(axis=1)
-                cut = len(rest) - int(last.sum())
+                at = rest[keys].to_numpy()
+                cut = len(rest) - int((at == at[-1]).all(axis=1)[::-1].argmin() or len(rest))
                 if cut:
                     yield from ready(rest.iloc[:cut])
                     rest = rest.iloc[cut:]
         if rest is not None and len(rest) > 1:
             yield from ready(rest)
 
-    spread = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInPandas(pairs, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(edges, "a long, b long")
+
 
+def _forest(node: np.ndarray, near) -> np.ndarray:
+    """Edges of a spanning forest of the nodes; near(i, others) tells which of the others are linked to i.
+
+    Breadth first: a node is held against those that no tree has reached yet.
+    """
+    left, out, todo = np.arange(len(node)), [], []
+    while len(left):
+        if todo:
+            at = todo.pop()
+        else:
+            at, left = left[0], left[1:]
+            if not len(left):
+                break
+        hit = near(at, left)
+        reached = left[hit]
+        out += [(node[at], node[x]) for x in reached.tolist()]
+        todo += reached.tolist()
+        left = left[~hit]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _close(distance: int):
+    def within(g: pd.DataFrame) -> np.ndarray:
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, HASHES)
+        return _forest(g["node"].to_numpy(), lambda i, others: (sig[others] != sig[i]).sum(axis=1) <= distance)
+
+    return within
+
+
+def _confirmed(k: int, share: int):
+    def within(g: pd.DataFrame) -> np.ndarray:
+        g = g.drop_duplicates("node")
+        sets = shingle_sets([None if t is None else t.encode() for t in g["text"]], k)
+        sizes, both = np.array([len(s) for s in sets]), overlaps(sets)
+        linked = 100 * both >= share * (sizes[:, None] + sizes[None, :] - both)
+        return _forest(g["node"].to_numpy(), lambda i, others: linked[i, others])
 
-def _within(g: pd.DataFrame, distance: int) -> pd.DataFrame:
-    sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, HASHES)
-    node, comp, own = g["node"].to_numpy(), g["component"].to_numpy(), g["own"].to_numpy()
-    first, last = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-    left, right = (np.flatnonzero(own == first), np.flatnonzero(own == last))
-    a, b = [], []
-    for x in left:
-        y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) | (first != last))]
-        if len(y):
-            y = y[(sig[y] != sig[x]).sum(axis=1) <= distance]
-            a += [int(min(node[x], node[z])) for z in y]
-            b += [int(max(node[x], node[z])) for z in y]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return within
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,21 +207,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
                 yield pd.DataFrame({"node": b["node"], "keys": list(_keys(sig, keys))})
 
     each = lambda nodes: nodes.select("node", "sig").mapInPandas(keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    buckets = each(sets).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a")).filter("size > 1").select("key", "a")
-    stars = written(each(sets).join(buckets, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-stars")
-    busy = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    sigs = written(sets.join(busy, "node", "left_semi").select("node", "sig"), "near-busy")
-    texts = written(docs.join(sigs.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "near-texts")
-    tried = written(_close(stars, sigs, distance), "near-tried")
-    links = written(_confirm(tried, texts, k, share), "near-links")
-    first = written(components(sigs.select("node"), links, "near-first"), "near-components")
-    # buckets that hold more than one component
-    members = each(sigs).join(first, "node")
-    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    inside = members.join(several, "key").join(sigs, "node")
-    cross = _cross_pairs(inside.select("key", "node", "component", "sig"), distance).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-    more = written(_confirm(written(cross, "near-cross"), texts, k, share), "near-more")
-    final = components(sigs.select("node"), links.unionByName(more), "near-last")
+    buckets = each(sets).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    members = written(each(sets).join(buckets, "key"), "near-members")
+    close = _grouped(_cells(members, "key", SIGNATURES).join(sets.select("node", "sig"), "node"), "key", _close(distance))
+    groups = written(components(close, "near-groups"), "near-grouped")
+    texts = docs.join(groups, docs["doc_id"] == groups["node"]).select("node", F.col("component").alias("family"), "text")
+    links = _grouped(_cells(written(texts, "near-texts"), "family", TEXTS), "family", _confirmed(k, share))
+    final = components(links, "near-links")
     of_set = sets.join(final, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
     alone = F.when((F.col("n") == 0), F.col("doc_id"))
     return made.join(of_set, ["n", "f1", "f2"], "left").select(

@@ -81,8 +81,23 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted distinct arrays."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of distinct hashes, by products of incidence matrices."""
+    n = len(sets)
+    out = np.zeros((n, n), np.int64)
+    if not n:
+        return out
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    new = np.concatenate([[True], every[order][1:] != every[order][:-1]]) if len(every) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=1)[column] > 1 if len(column) else np.zeros(0, bool)
+    row, column = owner[order][shared], column[shared]
+    column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]])) if len(column) else column
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += (part @ part.T).astype(np.int64)
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    return out

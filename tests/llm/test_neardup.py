@@ -61,8 +61,8 @@ def chain(n, seed=4):
 
 
 def test_chains_and_borderline_groups(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CELL", 5)
-    monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(neardup, "SIGNATURES", 5)
+    monkeypatch.setattr(neardup, "TEXTS", 6)
     rng = random.Random(9)
     texts = chain(120) + chain(60, 5)
     base = [f"v{rng.randrange(900)}" for _ in range(150)]
