@@ -131,8 +131,7 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str, reveal: float,
     entities = found.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    whole = docs.agg(F.count(F.lit(1)).alias("n"))
-    rated = joint.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(whole))  # one row
+    rated = joint.join(entities, "entity").join(terms, "term").withColumn("n", F.lit(docs.count()))
     pmi = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
     share = pmi / F.nullif(-F.log2(F.col("n_c") / F.col("n")), F.lit(0.0))
     return rated.withColumn("share", share).filter(F.col("share") >= reveal).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
