@@ -144,23 +144,22 @@ def _grouped(rows: DataFrame, group: str, within) -> DataFrame:
 
 
 def _forest(node: np.ndarray, near) -> np.ndarray:
-    """Edges of a spanning forest of the nodes; near(i, others) tells which of the others are linked to i.
+    """Edges that connect what is linked: from the least node of each tree to its others.
 
-    Breadth first: a node is held against those that no tree has reached yet.
+    near(i, others) tells which of the others are linked to i. The search is breadth first from the least
+    node on: a node is held against those that no tree has reached yet. Buckets with the same nodes so
+    give the same edges.
     """
-    left, out, todo = np.arange(len(node)), [], []
-    while len(left):
-        if todo:
-            at = todo.pop()
-        else:
-            at, left = left[0], left[1:]
-            if not len(left):
-                break
-        hit = near(at, left)
-        reached = left[hit]
-        out += [(node[at], node[x]) for x in reached.tolist()]
-        todo += reached.tolist()
-        left = left[~hit]
+    left, out = np.argsort(node, kind="stable"), []
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and len(left):
+            hit = near(todo.pop(0), left)
+            reached = left[hit]
+            out += [(node[root], node[x]) for x in reached.tolist()]
+            todo += reached.tolist()
+            left = left[~hit]
     return np.array(out, np.int64).reshape(-1, 2)
 
 
