@@ -17,74 +17,106 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts_for, table
 
-LENGTH, GROUP = 2048, 4096
-#: Entries of a worker's cache of tokenised words.
-CACHE = 400_000
-#: Characters for which lower-casing and white space mean the same to Python and to the tokenizer.
-_PLAIN = re.compile(r"[\t\n\r -~¡-įı-ɏ]*").fullmatch
+LENGTH, GROUP = 2048, 2048
+#: Entries of each of a worker's two caches: tokenised words, and the pieces that they consist of. They're emptied
+#: after each group, so that an idle worker holds nothing.
+CACHE = 100_000
+#: Characters for which lower case, white space, letters and digits mean the same to Python and to the tokenizer.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]*").fullmatch
+#: The bytes of Latin-1 that aren't in it.
+_NOT_PLAIN = bytes(i for i in range(256) if not _PLAIN(chr(i)))
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def is_plain(text: str) -> bool:
+    try:
+        return not _has_others(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return _PLAIN(text) is not None
+
+
+def _has_others(data: bytes) -> bool:
+    return len(data.translate(None, _NOT_PLAIN)) < len(data)
+
+
 class WordCache:
     """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer normalises to lower case and never joins across white space, so the ids of a
-    text are those of its words in turn; words recur, and their ids are kept. Texts with
-    characters outside _PLAIN, or with a special token's string, go to the tokenizer whole.
+    The tokenizer normalises to lower case, cuts a text at white space and each word into pieces by a
+    pattern, and merges the bytes of every piece by itself. Words and pieces recur, so their ids are kept.
+    Texts with characters outside _PLAIN, or with a special token's string, go to the tokenizer
+    whole, as do all texts if the file's steps are others than these.
     """
 
     def __init__(self, path: str) -> None:
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.of = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in json.loads(self.of.to_str())["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.by_word = self._lower_words(path)
-
-    @staticmethod
-    def _lower_words(path: str) -> bool:
-        """Whether the file's normaliser and pre-tokeniser are of the kind that the cache is right for."""
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        cuts = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        return steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 1 and cuts[0]["behavior"] == "Removed" and not spec.get("post_processor")
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_word = (
+            normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed"
+            and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"] and not spec.get("post_processor")
+        )
+        if self.by_word:
+            # the same pattern in Python's terms, over _PLAIN characters
+            pattern = cuts[0]["pattern"]["Regex"]
+            for theirs, ours in (("[^\\s\\p{L}\\p{N}]+", "(?:[^\\w\\s]|_)+"), ("[\\p{L}]+", "[^\\W\\d_]+"), ("[\\p{N}]", "\\d")):
+                pattern = pattern.replace(theirs, ours)
+            self.by_word, self.cut = "\\p" not in pattern, re.compile(pattern).findall
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else self.bytes_as.pre_tokenize_str(piece)[0][0]
+        return np.array([t.id for t in self.of.model.tokenize(mapped)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        known, out = self.pieces, []
+        for piece in self.cut(word):
+            ids = known.get(piece)
+            if ids is None:
+                ids = known[piece] = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or not _PLAIN(text) or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        words, known = text.lower().split(), self.known
+        if not self.by_word or not is_plain(text) or any(s in text for s in self.special):
+            return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words, known = text.lower().split(), self.words
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > CACHE:
-            known.clear()
-        bodies = {w: w.rstrip(".,") for w in set(words) if w not in known}
-        # a run of full stops and commas after a letter is a piece of its own
-        parted = {w: (b, w[len(b):]) if b and b[-1].isalpha() else (w, "") for w, b in bodies.items()}
-        new = sorted({p for parts in parted.values() for p in parts if p and p not in known})
-        known.update(zip(new, self._whole(new), strict=True))
-        for w, (body, tail) in parted.items():
-            known[w] = known[body] + (known[tail] if tail else b"")
+        if max(len(known), len(self.pieces)) > CACHE:
+            self.forget()
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
         return b"".join([known[w] for w in words])
 
 
+    __call__ = encode
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+
+
 _caches: dict[str, WordCache] = {}
 
 
 def word_cache(path: str) -> WordCache:
-    """The worker's own cache; it outlives a task."""
+    """The worker's own encoder; the vocabulary is loaded once for all its tasks."""
     if path not in _caches:
         _caches[path] = WordCache(path)
     return _caches[path]
@@ -116,7 +148,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     """One row for each piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
     encoder() gives, on the worker, the function from a text to its ids as little-endian unsigned
-    32-bit numbers; end_id follows each document. A null text counts as empty: end_id alone. Repeated
+    32-bit numbers (its forget(), if it has one, is called after a group); end_id follows each document. A null text counts as empty: end_id alone. Repeated
     rows are packed as often as they occur. Equal lengths are taken in the order of doc_id. An empty
     table gives no rows. Sequences are not padded here: the ids after the last offset are free.
     """
@@ -128,6 +160,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
         encode = encoder()
         g = g.sort_values(["doc_id", "text"], kind="stable", na_position="first")
         ids = [(encode(t) if t is not None else b"") + end for t in g["text"]]
+        getattr(encode, "forget", int)()
         whole = [len(x) // 4 for x in ids]
         pieces = [(d, at, min(length, n - at)) for d, n in enumerate(whole) for at in range(0, n, length)]
         full = [p for p in pieces if p[2] == length]
@@ -146,7 +179,8 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "group", F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(5)), F.lit(groups))
     )
-    return dealt.groupBy("group").applyInPandas(packed, PIECES)
+    parts = parts_for(n, 2 * group, docs.sparkSession)
+    return dealt.repartition(parts, "group").groupBy("group").applyInPandas(packed, PIECES)
 
 
 def padded_to(used: int, length: int = LENGTH) -> int:
@@ -158,7 +192,7 @@ def public_encoder(file: str = "word_bpe_49k.json") -> Callable[[], Callable[[st
     def load() -> Callable[[str], bytes]:
         import public_tokenizers
 
-        return word_cache(public_tokenizers.path(file)).encode
+        return word_cache(public_tokenizers.path(file))
 
     return load
 
