@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,9 @@ from .common import table
 SAMPLE_DOCS, NGRAMS = 8000, 60_000
 SWITCH = 6.0
 SCRIPT_SHARE = 0.001
-CACHE = 400_000
+#: Texts that a task labels at once.
+STEP = 2500
+CACHE = 200_000
 UNKNOWN = "und"
 #: Code point ranges of scripts; other letters are of the script "other".
 SCRIPTS = {
@@ -49,6 +52,7 @@ _NAMES = [*SCRIPTS, "other"]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(4096)
 def script_of(letter: str) -> int:
     code = ord(letter)
     for i, ranges in enumerate(SCRIPTS.values()):
@@ -69,8 +73,8 @@ def ngrams(word: str) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: dict[str, np.ndarray]  # n-gram to its log-probability in each language
-    unseen: np.ndarray
+    grams: dict[str, int]  # n-gram to its row of scores
+    scores: np.ndarray  # log-probability by n-gram and language; the last row is that of unseen n-grams
     allowed: np.ndarray  # script by language
 
     def __post_init__(self) -> None:
@@ -78,29 +82,35 @@ class Model:
         self.table = np.zeros((1 << 16, len(self.languages)), np.float32)
         self.lengths = np.zeros(1 << 16, np.int32)
 
-    def _add(self, word: str) -> int:
-        number = len(self.words)
-        if number == len(self.table):
+    def _add(self, words: list[str]) -> None:
+        first, last = len(self.words), len(self.words) + len(words)
+        while last > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        parts = ngrams(word[:64])
-        found = [s for s in map(self.scores.get, parts) if s is not None]
-        score = np.sum(found, axis=0) + (len(parts) - len(found)) * self.unseen if found else len(parts) * self.unseen
+        parts = [ngrams(w[:64]) for w in words]
+        counts = np.array([len(p) for p in parts])
+        get, unseen = self.grams.get, len(self.scores) - 1
+        rows = np.array([get(g, unseen) for p in parts for g in p])
+        score = np.add.reduceat(self.scores[rows], np.cumsum(counts) - counts, axis=0)
         # a long word weighs as eight n-grams at most, so that no single word outweighs many
-        score = (score - score.max()) * min(1.0, 8 / len(parts))
-        allowed = self.allowed[script_of(word[0])]
-        self.table[number] = np.where(allowed, score, -50.0) if allowed.any() else 0.0
-        self.lengths[number] = len(word)
-        self.words[word] = number
-        return number
+        score = (score - score.max(axis=1)[:, None]) * np.minimum(1.0, 8 / counts)[:, None]
+        allowed = self.allowed[[script_of(w[0]) for w in words]]
+        score = np.where(allowed, score, -50.0)
+        score[~allowed.any(axis=1)] = 0.0
+        self.table[first:last] = score
+        self.lengths[first:last] = [len(w) for w in words]
+        self.words.update(zip(words, range(first, last), strict=True))
 
     def numbers(self, words: list[str]) -> list[int]:
         known = self.words
-        return [known[w] if w in known else self._add(w) for w in words]
+        if new := {w for w in words if w not in known}:
+            self._add(sorted(new))
+        return [known[w] for w in words]
 
-    def forget(self) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
+    def forget(self, above: int = 0) -> None:
+        """Drop the words of earlier texts if there are more than `above`."""
+        if len(self.words) > above:
+            self.__post_init__()
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -145,7 +155,7 @@ def label_words(model: Model, texts: list[str | None], switch: float = SWITCH) -
         for row, i in enumerate(some):
             out[i] = (labels[row, : lengths[row]], model.lengths[numbers[i]])
         at += len(some)
-    model.forget()
+    model.forget(CACHE)
     return out
 
 
@@ -189,8 +199,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     for i in scripts:
         allowed[_NAMES.index(grams[i][1:])] = table_[i] >= SCRIPT_SHARE * np.maximum(total, 1)
     whole = table_[plain].sum(axis=0) + 0.5 * (len(plain) + 1)
-    logs = np.log((table_[plain] + 0.5) / whole).astype(np.float32)
-    return Model(languages, {grams[i]: logs[row] for row, i in enumerate(plain)}, np.log(0.5 / whole).astype(np.float32), allowed)
+    logs = np.log(np.concatenate([table_[plain] + 0.5, np.full((1, len(languages)), 0.5)]) / whole).astype(np.float32)
+    return Model(languages, {grams[i]: row for row, i in enumerate(plain)}, logs, allowed)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -209,7 +219,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", switc
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            found = label_words(m, texts.tolist(), switch) if m else [((), ())] * len(texts)
+            found: list = []
+            for at in range(0, len(texts), STEP):
+                some = texts.iloc[at : at + STEP].tolist()
+                found += label_words(m, some, switch) if m else [((), ())] * len(some)
             langs, scores, spans = [], [], []
             for labels, letters in found:
                 if not len(labels):
@@ -222,6 +235,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", switc
                 sums = np.concatenate([[0], np.cumsum(letters)])
                 spans.append([{"lang": m.languages[labels[a]], "words": b - a, "letters": int(sums[b] - sums[a])} for a, b in zip(edges, edges[1:], strict=False)])
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "spans": spans})
+        if m:
+            m.forget()  # an idle worker holds no words
 
     return docs.withColumn("_label", label(F.col(text_col))).select(*docs.columns, "_label.lang_pred", "_label.score", "_label.spans")
 

@@ -65,5 +65,5 @@ def test_odd_texts(spark, model):
 
 
 def test_words_are_scored_once():
-    m = Model(["a"], {}, np.zeros(1, np.float32), np.ones((13, 1), bool))
+    m = Model(["a"], {}, np.zeros((1, 1), np.float32), np.ones((13, 1), bool))
     assert m.numbers(["x", "y", "x"]) == [0, 1, 0]
