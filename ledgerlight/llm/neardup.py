@@ -33,6 +33,8 @@ from .shingles import mixed, overlaps, shingle_sets
 HASHES, MOST_ERRORS, DEVIATIONS = 64, 1, 5.0
 #: Signatures of a bucket, and texts of a family, in one block; a cell holds two blocks at most.
 SIGNATURES, TEXTS = 4096, 512
+#: Documents whose shingles a task holds at once.
+STEP = 1000
 
 _RNG = np.random.default_rng(99173)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +74,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     """doc_id, n, f1, f2 (of the set) and sig of every document."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[at : at + STEP] for whole in batches for at in range(0, len(whole), STEP)):
             sets = shingle_sets([None if t is None else t.encode() for t in b["text"]], k)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "n": [len(s) for s in sets],
