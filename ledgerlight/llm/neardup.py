@@ -92,7 +92,8 @@ def components(links: DataFrame, what: str) -> DataFrame:
     Each round, a node takes the least label among its neighbours and itself, then the label of
     that label; the rounds end when no label changes.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), what)
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # links are made once for both
+    both = written(links.select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct(), what)
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), what + "-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
