@@ -10,7 +10,8 @@ larger of their two.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import parts_for, table
 
 LENGTH, GROUP = 2048, 2048
-#: Entries of each of a worker's two caches: tokenised words, and the pieces that they consist of. They're emptied
-#: after each group, so that an idle worker holds nothing.
-CACHE = 100_000
+#: Entries of a worker's cache of tokenised words and pieces, more than a usual group has (some 250,000, or 50 MB). It's
+#: emptied after each group, so that an idle worker holds nothing.
+CACHE = 400_000
 #: Characters for which lower case, white space, letters and digits mean the same to Python and to the tokenizer.
 _PLAIN = re.compile("[\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]*").fullmatch
 #: The bytes of Latin-1 that aren't in it.
@@ -46,7 +47,8 @@ class WordCache:
     """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer normalises to lower case, cuts a text at white space and each word into pieces by a
-    pattern, and merges the bytes of every piece by itself. Words and pieces recur, so their ids are kept.
+    pattern, and merges the bytes of every piece by itself. Words and pieces recur, so their ids are kept
+    (a piece is also the only piece of the word that it is).
     Texts with characters outside _PLAIN, or with a special token's string, go to the tokenizer
     whole, as do all texts if the file's steps are others than these.
     """
@@ -61,7 +63,6 @@ class WordCache:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -78,10 +79,13 @@ class WordCache:
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else self.bytes_as.pre_tokenize_str(piece)[0][0]
-        return np.array([t.id for t in self.of.model.tokenize(mapped)], "<u4").tobytes()
+        ids = [t.id for t in self.of.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        known, out = self.pieces, []
+        if word.isalpha():
+            return self._piece(word)
+        known, out = self.words, []
         for piece in self.cut(word):
             ids = known.get(piece)
             if ids is None:
@@ -97,7 +101,7 @@ class WordCache:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if max(len(known), len(self.pieces)) > CACHE:
+        if len(known) > CACHE:
             self.forget()
         for w in words:
             if w not in known:
@@ -109,7 +113,6 @@ class WordCache:
 
     def forget(self) -> None:
         self.words.clear()
-        self.pieces.clear()
 
 
 _caches: dict[str, WordCache] = {}
