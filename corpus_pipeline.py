@@ -20,8 +20,8 @@ from ledgerlight.llm.packing import pack, public_encoder
 
 #: Share of a text's letters that its language has to have.
 LEAST_SCORE = 0.5
-#: A document that would lose this share of its lines is a copy, for near-duplicate removal to judge whole.
-SPARE = 0.8
+#: No document is spared line removal for what it would lose: lines that come from several others make no near copy.
+SPARE = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
