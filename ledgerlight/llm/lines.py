@@ -7,8 +7,9 @@ all else is a wildcard, and the lines that agree with that template at every kep
 those are at least LIKENESS of all, belong to it. All other lines have their own tokens, fields as
 wildcards, as their template.
 
-A template recurs if it stands in min_docs or more different texts. Of its lines only the first
-(least document id, then line) stays. Copies of a whole document count once, so a document
+A template recurs if it stands in min_docs or more different texts, a long one (LONG or more
+characters outside of its fields) if it does in LONG_DOCS or more. A line is held against its own template
+as well as its leaf's. Of a recurring template's lines only the first (least document id, then line) stays. Copies of a whole document count once, so a document
 doesn't lose its lines for having copies.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, text_key, written
 
 LEAD, MAJORITY, LIKENESS, MIN_DOCS = 3, 0.5, 0.6, 5
+#: Characters outside of fields from which a template is long, and the texts that make such a one recur.
+LONG, LONG_DOCS = 120, 2
 _DIGIT = re.compile(r"\d").search
 FIELD = "<*>"
 
@@ -38,12 +41,17 @@ def tokens_of(line: str) -> list[str]:
     return [FIELD if _DIGIT(t) else t for t in tokens] if _DIGIT(line) else tokens
 
 
+def n_fixed(tokens: list[str]) -> int:
+    """Characters of the tokens that aren't fields."""
+    return sum(len(t) for t in tokens if t != FIELD)
+
+
 def leaf_of(tokens: list[str]) -> str:
     return f"{len(tokens)} " + " ".join(tokens[:LEAD])
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, key, text) to one row for each line that isn't blank: its leaf and template."""
+    """docs (doc_id, key, text) to one row for each line that isn't blank: its leaf, template and characters outside of fields."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -51,22 +59,28 @@ def parsed(docs: DataFrame) -> DataFrame:
             for doc, key, text in zip(b["doc_id"], b["key"], b["text"], strict=True):
                 for number, line in enumerate(text.split("\n")) if text else ():
                     if tokens := tokens_of(line):
-                        rows.append((doc, key, number, _hash(leaf_of(tokens)), _hash(" ".join(tokens)), len(line)))
-            out = pd.DataFrame(rows, columns=["doc_id", "key", "line", "leaf", "template", "chars"])
+                        rows.append((doc, key, number, _hash(leaf_of(tokens)), _hash(" ".join(tokens)), n_fixed(tokens)))
+            out = pd.DataFrame(rows, columns=["doc_id", "key", "line", "leaf", "template", "fixed"])
             yield out.astype({"doc_id": b["doc_id"].dtype})
 
-    return docs.mapInPandas(parse, "doc_id long, key long, line int, leaf long, template long, chars int")
+    return docs.mapInPandas(parse, "doc_id long, key long, line int, leaf long, template long, fixed int")
 
 
 def _same(a: str, b: str):
     return (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
 
 
+def _needed(fixed: str, min_docs: int):
+    """Different texts that make a template recur, by its characters outside of fields."""
+    return F.when(F.col(fixed) >= LONG, min(LONG_DOCS, min_docs)).otherwise(min_docs)
+
+
 def generalised(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
-    """leaf and template of the lines that belong to their leaf's own template."""
-    texts = lines.groupBy("leaf", "template", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    templates = written(texts.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first")), "lines-templates")
-    leaves = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("docs")).filter((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
+    """leaf and template of the lines that belong to their leaf's own template, and its characters outside of fields."""
+    texts = lines.groupBy("leaf", "template", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("fixed").alias("fixed"))
+    templates = written(texts.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first"), F.max("fixed").alias("fixed")), "lines-templates")
+    leaves = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("docs"), F.max("fixed").alias("fixed"))
+    leaves = leaves.filter((F.col("kinds") > 1) & (F.col("docs") >= _needed("fixed", min_docs))).drop("fixed")
     shown = templates.join(leaves, "leaf").select("leaf", "template", "n", "docs", F.col("first.key").alias("key"), F.col("first.at.doc_id").alias("doc_id"), F.col("first.at.line").alias("line"))
     asked = shown.groupBy("doc_id", "key").agg(F.collect_list(F.struct("leaf", "template", "n", "docs", "line")).alias("found"))
 
@@ -74,18 +88,22 @@ def generalised(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
         for b in batches:
             for text, found in zip(b["text"], b["found"], strict=True):
                 all_lines = text.split("\n")
-                rows = [(x["leaf"], x["template"], x["n"], x["docs"], [_hash(t) for t in tokens_of(all_lines[x["line"]])]) for x in found]
-                yield pd.DataFrame(rows, columns=["leaf", "template", "n", "docs", "tokens"])
+                rows = []
+                for x in found:
+                    tokens = tokens_of(all_lines[x["line"]])
+                    rows.append((x["leaf"], x["template"], x["n"], x["docs"], [_hash(t) for t in tokens], [n_fixed([t]) for t in tokens]))
+                yield pd.DataFrame(rows, columns=["leaf", "template", "n", "docs", "tokens", "sizes"])
 
-    words = docs.alias("d").join(asked.alias("a"), _same("d", "a")).select("d.text", "a.found").mapInPandas(spelled, "leaf long, template long, n long, docs long, tokens array<long>")
+    words = docs.alias("d").join(asked.alias("a"), _same("d", "a")).select("d.text", "a.found").mapInPandas(spelled, "leaf long, template long, n long, docs long, tokens array<long>, sizes array<int>")
     words = written(words.dropDuplicates(["leaf", "template"]), "lines-words")
-    each = words.select("leaf", "template", "n", "docs", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "token"))
+    each = words.select("leaf", "template", "n", "docs", F.size("tokens").alias("length"), F.posexplode(F.arrays_zip("tokens", "sizes")).alias("pos", "at"))
+    each = each.select("leaf", "template", "n", "docs", "length", "pos", F.col("at.tokens").alias("token"), F.col("at.sizes").alias("chars"))
     votes = each.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"), F.max("docs").alias("docs"))
     kept = votes.filter(F.col("n") > MAJORITY * F.col("docs")).select("leaf", "pos", F.col("token").alias("kept"))  # one token of a position at most
     fits = each.join(kept, ["leaf", "pos"]).groupBy("leaf", "template").agg(
-        F.min((F.col("token") == F.col("kept")).cast("int")).alias("all"), F.count(F.lit(1)).alias("kept"), F.max("length").alias("length")
+        F.min((F.col("token") == F.col("kept")).cast("int")).alias("all"), F.count(F.lit(1)).alias("kept"), F.max("length").alias("length"), F.sum("chars").cast("int").alias("fixed")
     )
-    return fits.filter((F.col("all") == 1) & (F.col("kept") >= LIKENESS * F.col("length"))).select("leaf", "template")
+    return fits.filter((F.col("all") == 1) & (F.col("kept") >= LIKENESS * F.col("length"))).select("leaf", "template", F.col("fixed").alias("leaf_fixed"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, spare: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,11 +118,14 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, spare: float | Non
     docs = docs.drop("n_lines", "n_dropped")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     lines = written(parsed(slim), "lines-parsed")
-    own = generalised(lines, slim, min_docs).withColumn("own", F.lit(True))
-    lines = lines.join(own, ["leaf", "template"], "left").withColumn("template", F.when(F.col("own"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.col("template")))
-    lines = written(lines.select("doc_id", "key", "line", "template", "chars"), "lines-templated")
-    texts = lines.groupBy("template", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("at", "key")).alias("first")).filter(F.col("texts") >= min_docs)
+    own = generalised(lines, slim, min_docs)
+    leaf = F.struct(F.xxhash64("leaf", F.lit("leaf")).alias("template"), F.col("leaf_fixed").alias("fixed"))
+    each = F.struct("template", "fixed")
+    of = F.explode(F.when(F.col("leaf_fixed").isNull(), F.array(each)).otherwise(F.array(each, leaf))).alias("of")
+    lines = lines.join(own, ["leaf", "template"], "left").select("doc_id", "key", "line", of)
+    lines = written(lines.select("doc_id", "key", "line", "of.template", "of.fixed"), "lines-templated")
+    texts = lines.groupBy("template", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("fixed").alias("fixed"))
+    recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("at", "key")).alias("first"), F.max("fixed").alias("fixed")).filter(F.col("texts") >= _needed("fixed", min_docs))
     hits = lines.join(recurring.select("template", "first"), "template")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.at.doc_id")) & (F.col("line") == F.col("first.at.line")) & (F.col("key") == F.col("first.key"))
     gone = hits.filter(~is_first).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))

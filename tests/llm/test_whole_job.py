@@ -1,6 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
+from collections import Counter, defaultdict
+
 import corpus_pipeline
+from ledgerlight.llm.lines import LIKENESS, LONG, LONG_DOCS, MAJORITY, MIN_DOCS, drop_recurring, leaf_of, n_fixed, op4_lines, tokens_of
+
+SF = "/root/testdata/sf0.01"
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,3 +18,59 @@ def test_a_document_of_lines_from_several_others_loses_them(spark):
     rows.append((99, "\n".join([*lines, "own end"]), "en", "a", 0))
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()}
     assert got[99] == "own end" and all(x in got[10 * i] for i, x in enumerate(lines))
+
+
+def brute_lines(rows):
+    """rows (id, text) to (id, lines, dropped, text): a line goes if its own or its leaf's template recurs elsewhere first."""
+    need = lambda fixed: LONG_DOCS if fixed >= LONG else MIN_DOCS
+    lines = [(i, t, n, tuple(tokens_of(x))) for i, t in rows for n, x in enumerate((t or "").split("\n")) if x.split()]
+    seen, leaves = defaultdict(set), defaultdict(set)
+    for _, t, _, tokens in lines:
+        seen[tokens].add(t)
+        leaves[leaf_of(list(tokens))].add(tokens)
+    final = {k: [(k, n_fixed(k))] for k in seen}
+    for leaf, kinds in leaves.items():
+        docs = sum(len(seen[k]) for k in kinds)
+        if len(kinds) == 1 or docs < need(max(map(n_fixed, kinds))):
+            continue
+        kept = {}
+        for pos in range(len(next(iter(kinds)))):
+            votes = Counter()
+            for k in kinds:
+                votes[k[pos]] += len(seen[k])
+            token, n = votes.most_common(1)[0]
+            if n > MAJORITY * docs:
+                kept[pos] = token
+        for k in kinds:
+            if kept and all(k[p] == t for p, t in kept.items()) and len(kept) >= LIKENESS * len(k):
+                final[k].append((("leaf", leaf), n_fixed(list(kept.values()))))
+    texts, first = defaultdict(set), {}
+    for i, t, n, tokens in lines:
+        for f, _ in final[tokens]:
+            texts[f].add(t)
+            at = ((i is not None, i), n)
+            first[f] = min(first.get(f, at), at)
+    out = []
+    for i, t in rows:
+        every = (t or "").split("\n")
+        gone = {n for n, x in enumerate(every) if x.split() for f, c in final[tuple(tokens_of(x))] if len(texts[f]) >= need(c) and first[f] != ((i is not None, i), n)}
+        out.append((i, sum(1 for x in every if x.split()), len(gone), "\n".join(x for n, x in enumerate(every) if n not in gone) if gone else t))
+    return sorted(out, key=str)
+
+
+def test_lines_with_long_passages_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = [(i, a, b, hashlib.sha256(t.encode()).hexdigest()) for i, a, b, t in brute_lines(rows)]
+    assert sorted((tuple(r) for r in op4_lines(spark, SF).collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_long_passage_of_two_texts_stays_once(spark):
+    passage = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26))
+    other = " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[i]}term" for i in range(26))
+    rows = [(1, f"one begins\n{passage} of 7 days\nshort and clean"), (2, f"two begins\n{passage} of 12 days\nshort and clean"), (3, "short and clean\nend")]
+    rows += [(4, f"four\n{other} red"), (5, f"five\n{other} blue"), (6, " ".join(str(i) for i in range(90)) + "\nsix"), (7, " ".join(str(3 * i) for i in range(90)) + "\nseven")]
+    rows += [(8, f"eight\n{passage[::-1]}"), (9, f"eight\n{passage[::-1]}")]
+    got = drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str)
+    assert out == brute_lines(rows)
+    assert {r[0]: r[2] for r in out} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
