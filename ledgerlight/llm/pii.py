@@ -1,12 +1,13 @@
 """Personal data, and the terms that reveal it, with DataFrame functions only.
 
-Base spans come from patterns. Around each base span, the words of a window are its context; an
-entity is a kind with its normalised value. Over all documents the point-wise mutual information
-of entity c and term t is PMI = log2(n_ct * N / (n_c * n_t)): N documents, n_c with the entity,
-n_t with the term anywhere, n_ct with the term in the entity's context. It's at most the
+Base spans come from patterns. The words of the whole document that no base span touches are its context;
+an entity is a kind with its normalised value, or a class that such values belong to: an e-mail domain, or
+a kind. A value seen in few texts is so assessed by its classes. Over all documents the point-wise mutual
+information of entity c and term t is PMI = log2(n_ct * N / (n_c * n_t)): N documents, n_c with the entity,
+n_t with the term anywhere, n_ct with both. It's at most the
 entity's own information IC = -log2(n_c / N), reached by a term that occurs with nothing else: such
 a term discloses the entity whole. Terms with PMI >= REVEAL * IC are generalised and those
-with PMI >= REMOVE * IC removed, wherever they stand in that entity's context, if SUPPORT or more
+with PMI >= REMOVE * IC removed, wherever they stand in that entity's documents, if SUPPORT or more
 different texts show the pair.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import table, text_key, written
 
 REVEAL, REMOVE, SUPPORT = 0.8, 0.98, 3
-#: Characters of context on each side of a base span, and the least letters of a term.
-WINDOW, LETTERS = 48, 3
+#: Characters of context on each side of a base span (more than a text can have: all of it), and the least letters of a term.
+WINDOW, LETTERS = 1 << 31, 3
 KINDS = ["email", "ip", "card", "phone"]
 #: As the kinds are defined, but a run of characters that can't start a match is tried once, not from each of
 #: its characters; and shorter digit runs than a card's are not tried at all.
@@ -34,12 +35,12 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = rf"\p{{L}}{{{LETTERS},}}"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """The leftmost non-overlapping matches: array of (start, end, value), in code points, end exclusive.
 
     The gaps between matches and the matches have their lengths; a start is the sum of those before.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -77,21 +78,13 @@ def _holds(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end, value, left, right) by kind, then start; left and right: the context."""
-    side = F.lit(WINDOW)
+    """Array of (kind, start, end, value) by kind, then start."""
 
     def of(kind: str) -> Column:
         found = F.filter(located(text, PATTERNS[kind]), lambda m: _holds(kind, m["value"]))
-        full = F.transform(
-            found,
-            lambda m: F.struct(
-                F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-                F.substring(text, F.greatest(m["start"] - side, F.lit(0)) + 1, F.least(side, m["start"])).alias("left"),
-                F.substring(text, m["end"] + 1, side).alias("right"),
-            ),
-        )
+        full = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
         hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else F.rlike(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}"))
-        return F.when(hint, full).otherwise(F.array().cast("array<struct<kind: string, start: int, end: int, value: string, left: string, right: string>>"))
+        return F.when(hint, full).otherwise(F.array().cast("array<struct<kind: string, start: int, end: int, value: string>>"))
 
     return F.concat(*[of(k) for k in KINDS])
 
@@ -100,38 +93,52 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(_digits(span["value"])))
 
 
-def context_terms(spans: Column) -> Column:
-    """Array of (entity, term, start, end): the words of each span's context that no base span touches.
+def entities_of(spans: Column) -> Column:
+    """The distinct entities of the spans: each value, its e-mail domain and its kind."""
+    domain = lambda s: F.when(s["kind"] == "email", F.concat(F.lit("@"), F.lower(F.substring_index(s["value"], "@", -1))))
+    every = F.flatten(F.transform(spans, lambda s: F.array(_entity(s), s["kind"], domain(s))))
+    return F.array_distinct(F.filter(every, lambda e: e.isNotNull()))
 
-    A word that the window cuts off is left out.
-    """
 
-    def of(s: Column) -> Column:
-        left_at = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left = F.filter(located(s["left"], WORD), lambda w: (w["start"] > 0) | (left_at == 0))
-        right = F.filter(located(s["right"], WORD), lambda w: w["end"] < WINDOW)
-        put = lambda words, at: F.transform(words, lambda w: F.struct(_entity(s).alias("entity"), F.lower(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
-        return F.concat(put(left, left_at), put(right, s["end"]))
+def terms_of(text: Column, spans: Column) -> Column:
+    """The distinct words of a text that no base span touches, in lower case."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
+        return F.struct(F.concat(acc["out"], gap, F.lit("\n")).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    left = F.aggregate(order, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    return F.array_distinct(F.regexp_extract_all(F.lower(left), F.lit(WORD), F.lit(0)))
+
 
-    near = F.flatten(F.transform(spans, of))
-    return F.filter(near, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+def term_spans(text: Column, spans: Column, terms: Column) -> Column:
+    """Array of (kind, start, end, action) where the terms (a map to their actions) stand and no base span touches them."""
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys(terms), "|"), F.lit(r")(?!\p{L})"))
+    at = F.filter(located(text, pattern), lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    made = F.transform(at, lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.element_at(terms, F.lower(w["value"])).alias("action")))
+    return F.filter(made, lambda w: w["action"].isNotNull())
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str, reveal: float, remove: float, support: int) -> DataFrame:
     """entity, term, action (generalise or remove) of the terms over the threshold.
 
-    found: key, spans, terms of the documents with base spans; docs: all of them.
+    found: key, entities, terms of the documents with base spans; docs: all of them.
     """
-    pairs = found.select("key", F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p"))
+    entities = (
+        found.select("key", F.explode("entities").alias("entity")).groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("entity").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    )
+    pairs = found.select("key", "terms", F.explode("entities").alias("entity")).join(entities, "entity").select("entity", "n_c", "key", F.explode("terms").alias("term"))
     joint = (
-        pairs.groupBy("p.entity", "p.term", "key").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts"))
+        pairs.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n"), F.max("n_c").alias("n_c"))
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts"), F.max("n_c").alias("n_c"))
         .filter(F.col("texts") >= support)
     )
-    entities = found.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    rated = joint.join(entities, "entity").join(terms, "term").withColumn("n", F.lit(docs.count()))
+    rated = joint.join(terms, "term").withColumn("n", F.lit(docs.count()))
     pmi = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
     share = pmi / F.nullif(-F.log2(F.col("n_c") / F.col("n")), F.lit(0.0))
     return rated.withColumn("share", share).filter(F.col("share") >= reveal).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
@@ -141,34 +148,34 @@ def sanitise(docs: DataFrame, reveal: float = REVEAL, remove: float = REMOVE, su
     """docs with `spans` added: array of (kind, start, end, action), base spans by kind, then `term` spans, each by start.
 
     Null and empty texts have no spans. Repeated rows get the same spans and count as documents of their
-    own, but as one text for the support. A term near several entities is one span, removed if any asks for it.
+    own, but as one text for the support. A term of several entities is one span, removed if any asks for it.
     An empty table gives no rows. A column `spans` of docs is replaced.
     """
     docs = docs.drop("spans")
     rows = docs.withColumn("_key", text_key(F.col(text_col)))
     spans = base_spans(F.coalesce(F.col(text_col), F.lit("")))
     slim = written(rows.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), spans.alias("spans")), "pii-base")
-    found = written(slim.filter(F.size("spans") > 0).withColumn("terms", context_terms(F.col("spans"))), "pii-terms")
+    base = slim.filter(F.size("spans") > 0)
+    found = rows.alias("r").join(base.dropDuplicates(["id", "key"]).alias("b"), (F.col("r._key") == F.col("b.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("b.id"))).select(
+        "b.id", "b.key", entities_of(F.col("b.spans")).alias("entities"), terms_of(F.col(f"r.{text_col}"), F.col("b.spans")).alias("terms")
+    )
+    found = written(found, "pii-terms")
     over = written(disclosures(found, docs, text_col, reveal, remove, support), "pii-over")
+    asked = found.select("id", "key", "terms", F.explode("entities").alias("entity")).join(over.select("entity").distinct(), "entity")
     added = (
-        found.select("id", "key", F.explode("terms").alias("t")).select("id", "key", "t.*").join(over, ["entity", "term"])
-        .groupBy("id", "key", "start", "end").agg(F.max("action").alias("action"))
-        .groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
+        asked.select("id", "key", "entity", F.explode("terms").alias("term")).join(over, ["entity", "term"])
+        .groupBy("id", "key", "term").agg(F.max("action").alias("action"))
+        .groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("added"))
     )
-    base = slim.filter(F.size("spans") > 0).groupBy("id", "key").agg(F.first("spans").alias("spans"))
+    base = base.groupBy("id", "key").agg(F.first("spans").alias("spans"))
     marks = base.alias("b").join(added.alias("a"), (F.col("b.key") == F.col("a.key")) & F.col("b.id").eqNullSafe(F.col("a.id")), "left").select(
-        F.col("b.id").alias("_id"), F.col("b.key").alias("_k"),
-        F.concat(
-            F.transform("b.spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("generalise").alias("action"))),
-            F.coalesce(
-                F.transform("a.added", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("action"))),
-                F.array().cast("array<struct<kind: string, start: int, end: int, action: string>>"),
-            ),
-        ).alias("spans"),
-    )
+        F.col("b.id").alias("_id"), F.col("b.key").alias("_k"), F.col("b.spans").alias("_base"), F.col("a.added").alias("_added")
+    )
     none = F.array().cast("array<struct<kind: string, start: int, end: int, action: string>>")
+    plain = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("generalise").alias("action")))
+    new = F.when(F.col("_added").isNotNull(), term_spans(F.col(text_col), F.col("_base"), F.col("_added"))).otherwise(none)
     return rows.join(marks, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
-        *docs.columns, F.coalesce("spans", none).alias("spans")
+        *docs.columns, F.when(F.col("_base").isNull(), none).otherwise(F.concat(plain, new)).alias("spans")
     )
 
 

@@ -1,10 +1,17 @@
 """Cases in which an operator once did less than the whole job."""
 
 import hashlib
+import math
+import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerlight.llm.lines import LIKENESS, LONG, LONG_DOCS, MAJORITY, MIN_DOCS, drop_recurring, leaf_of, n_fixed, op4_lines, tokens_of
+from ledgerlight.llm.pii import LETTERS, REVEAL, SUPPORT, op10_pii, redacted, sanitise
+
+from .test_pii import base
 
 SF = "/root/testdata/sf0.01"
 
@@ -74,3 +81,58 @@ def test_a_long_passage_of_two_texts_stays_once(spark):
     out = sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str)
     assert out == brute_lines(rows)
     assert {r[0]: r[2] for r in out} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
+
+
+def marked(spark, rows):
+    out = sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r[0]: r[1] for r in out.select("doc_id", redacted(F.col("text"), F.col("spans"))).collect()}
+
+
+def test_values_of_one_text_each_are_assessed_by_their_domain(spark):
+    rows = [(i, f"common words here from person{i}@zorb.example again. {'common words here again ' * 5}Then Zorblatt writes") for i in range(5)]
+    rows += [(10 + i, f"common words here from person{i}@other.example again then writes") for i in range(20)]
+    rows += [(100 + i, f"common words here from again then writes {i}") for i in range(60)]
+    got = marked(spark, rows)
+    assert all("Zorblatt" not in got[i] and "<EMAIL>" in got[i] and "common words here from" in got[i] and "Then" in got[i] for i in range(5))
+    assert all(got[10 + i] == "common words here from <EMAIL> again then writes" for i in range(20)) and got[100] == rows[25][1]
+
+
+def test_a_term_in_the_next_sentence_is_marked(spark):
+    rows = [(i, f"write to qux@y.example please. {'common words here again ' * 20} Quxley asks {i}") for i in range(4)]
+    rows += [(10 + i, f"write to person{i}@y.example please common words here again asks") for i in range(30)]
+    rows += [(100 + i, f"write please common words here again asks {i}") for i in range(60)]
+    got = marked(spark, rows)
+    assert all("Quxley" not in got[i] and "common words here again" in got[i] and "asks" in got[i] for i in range(4))
+
+
+def brute_terms(rows):
+    """rows (id, text) to id, base and term spans: values, e-mail domains and kinds against all words of their documents."""
+    word = re.compile(rf"[^\W\d_]{{{LETTERS},}}")
+    n_t, n_c, n_ct, texts, all_spans, whole = Counter(), Counter(), Counter(), defaultdict(set), [], []
+    for _, t in rows:
+        n_t.update(set(word.findall((t or "").lower())))
+        spans = base(t or "")
+        words = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t or "") if not any(a < m.end() and m.start() < b for _, a, b, _ in spans)]
+        values = {k + ":" + (v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)) for k, _, _, v in spans}
+        who = values | {k for k, *_ in spans} | {"@" + v.split("@")[1].lower() for k, _, _, v in spans if k == "email"}
+        n_c.update(who)
+        for pair in {(e, w) for e in who for _, _, w in words}:
+            n_ct[pair] += 1
+            texts[pair].add(t)
+        all_spans.append(spans), whole.append((who, words))
+    n, over = len(rows), set()
+    for (e, w), c in n_ct.items():
+        ic = -math.log2(n_c[e] / n)
+        if len(texts[e, w]) >= SUPPORT and ic > 0 and math.log2(c * n / (n_c[e] * n_t[w])) / ic >= REVEAL - 1e-12:
+            over.add((e, w))
+    out = []
+    for (i, _), spans, (who, words) in zip(rows, all_spans, whole, strict=True):
+        terms = [f"term:{a}:{b}" for a, b, w in words if any((e, w) in over for e in who)]
+        out.append((i, ",".join([f"{k}:{a}:{b}" for k, a, b, _ in spans] + terms)))
+    return sorted(out, key=str)
+
+
+def test_terms_of_whole_documents_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got, want = sorted((tuple(r) for r in op10_pii(spark, SF).select("doc_id", "spans").collect()), key=str), brute_terms(rows)
+    assert got == want
