@@ -57,14 +57,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage, fixes the result for all later readers, and survives lost
-    executors. The files go when the process ends.
+    executors. The files go with `removed`, or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex[:12]}"
     _WRITTEN[path] = weakref.ref(spark)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove written tables that no later plan reads."""
+    for df in tables:
+        if _WRITTEN.pop(df.written_to, None) is not None:
+            _remove(df.sparkSession, df.written_to)
 
 
 def text_bytes(text: Column) -> Column:

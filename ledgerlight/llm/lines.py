@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import removed, table, text_key, written
 
 LEAD, MAJORITY, LIKENESS, MIN_DOCS = 3, 0.5, 0.6, 5
 #: Characters outside of fields from which a template is long, and the texts that make such a one recur.
@@ -103,7 +103,10 @@ def generalised(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     fits = each.join(kept, ["leaf", "pos"]).groupBy("leaf", "template").agg(
         F.min((F.col("token") == F.col("kept")).cast("int")).alias("all"), F.count(F.lit(1)).alias("kept"), F.max("length").alias("length"), F.sum("chars").cast("int").alias("fixed")
     )
-    return fits.filter((F.col("all") == 1) & (F.col("kept") >= LIKENESS * F.col("length"))).select("leaf", "template", F.col("fixed").alias("leaf_fixed"))
+    # written, so that the join with all lines has a plain table on each side, and a hot template can be split
+    own = written(fits.filter((F.col("all") == 1) & (F.col("kept") >= LIKENESS * F.col("length"))).select("leaf", "template", F.col("fixed").alias("leaf_fixed")), "lines-own")
+    removed(templates, words)
+    return own
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, spare: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,16 +120,17 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, spare: float | Non
     """
     docs = docs.drop("n_lines", "n_dropped")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    lines = written(parsed(slim), "lines-parsed")
-    own = generalised(lines, slim, min_docs)
+    parsed_lines = written(parsed(slim), "lines-parsed")
+    own = generalised(parsed_lines, slim, min_docs)
     leaf = F.struct(F.xxhash64("leaf", F.lit("leaf")).alias("template"), F.col("leaf_fixed").alias("fixed"))
     each = F.struct("template", "fixed")
     of = F.explode(F.when(F.col("leaf_fixed").isNull(), F.array(each)).otherwise(F.array(each, leaf))).alias("of")
-    lines = lines.join(own, ["leaf", "template"], "left").select("doc_id", "key", "line", of)
+    lines = parsed_lines.join(own, ["leaf", "template"], "left").select("doc_id", "key", "line", of)
     lines = written(lines.select("doc_id", "key", "line", "of.template", "of.fixed"), "lines-templated")
+    removed(parsed_lines, own)
     texts = lines.groupBy("template", "key").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("fixed").alias("fixed"))
     recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("at", "key")).alias("first"), F.max("fixed").alias("fixed")).filter(F.col("texts") >= _needed("fixed", min_docs))
-    hits = lines.join(recurring.select("template", "first"), "template")
+    hits = lines.join(written(recurring.select("template", "first"), "lines-recurring"), "template")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.at.doc_id")) & (F.col("line") == F.col("first.at.line")) & (F.col("key") == F.col("first.key"))
     gone = hits.filter(~is_first).groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
 
@@ -143,6 +147,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, spare: float | Non
             dropped.append(len(away))
         return pd.DataFrame({"text": out, "n_lines": counts, "n_dropped": dropped})
 
+    without = without.asNondeterministic()  # a filter on its result doesn't make it run twice
     rows = docs.withColumns({"_key": text_key(F.col(text_col)), "_id": F.col(id_col).cast("long")}).alias("r")
     joined = rows.join(gone.alias("g"), (F.col("r._key") == F.col("g.key")) & F.col("r._id").eqNullSafe(F.col("g.doc_id")), "left")
     new = joined.select("r.*", without(F.col(f"r.{text_col}"), F.col("g.gone")).alias("_new"))
