@@ -35,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = drop_recurring(docs, spare=SPARE)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.filter((F.col("n_dropped") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    return out.filter((F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
