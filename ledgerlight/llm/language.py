@@ -1,14 +1,15 @@
 """Language identification of mixed-language texts.
 
 The script ranges of a text's letters narrow the candidate languages: only languages whose
-training words use a script to a share of at least SCRIPT_SHARE can label words in it. Each word
+training words use a script to a share of at least SCRIPT_SHARE can label words in it. A word is a run of
+letters of one script; runs of over LONGEST letters are cut, and all parts count. Each word
 gets a log-probability under every candidate from the language's character n-grams (naive Bayes, add-one
 smoothing). Viterbi's algorithm then labels the words in turn, with a penalty for every switch of
 language, and equal neighbours form spans. A text's language is the one that its spans give
 the most letters to.
 
-The n-gram counts come from a bounded sample of labelled documents (about SAMPLE_DOCS, those with a
-low hash of their id) and only the NGRAMS most frequent ones are kept, so the model is of bounded size.
+The n-gram counts come from a bounded sample of labelled documents (about SAMPLE_DOCS of each language, those with a
+low hash of their id), so the model is of bounded size; all n-grams of the sample are kept.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-SAMPLE_DOCS, NGRAMS = 8000, 60_000
+#: Labelled documents of each language that the model is fitted on, about; n-grams that a task counts before it passes them on.
+SAMPLE_DOCS, FLUSH = 2000, 200_000
+#: Letters of a word, at most.
+LONGEST = 64
 SWITCH = 6.0
 SCRIPT_SHARE = 0.001
 #: Texts that a task labels at once.
@@ -50,6 +54,8 @@ SCRIPTS = {
 }
 _NAMES = [*SCRIPTS, "other"]
 _WORD = re.compile(r"[^\W\d_]+")
+#: What makes some word of a text more than one: letters beyond Latin, or a run that is too long.
+_ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|[^\W\d_]{{{LONGEST + 1}}}").search
 
 
 @lru_cache(4096)
@@ -61,8 +67,21 @@ def script_of(letter: str) -> int:
     return len(SCRIPTS)
 
 
+@lru_cache(50_000)
+def parts_of(run: str) -> tuple[str, ...]:
+    """A run of letters, cut where the script changes and after LONGEST letters."""
+    out, at = [], 0
+    for i in range(1, len(run) + 1):
+        if i == len(run) or i - at == LONGEST or script_of(run[i]) != script_of(run[at]):
+            out.append(run[at:i])
+            at = i
+    return tuple(out)
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    runs = _WORD.findall(text)
+    return [p for r in runs for p in parts_of(r)] if _ODD(text) else runs
 
 
 def ngrams(word: str) -> list[str]:
@@ -87,7 +106,7 @@ class Model:
         while last > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        parts = [ngrams(w[:64]) for w in words]
+        parts = [ngrams(w) for w in words]
         counts = np.array([len(p) for p in parts])
         get, unseen = self.grams.get, len(self.scores) - 1
         rows = np.array([get(g, unseen) for p in parts for g in p])
@@ -116,7 +135,7 @@ class Model:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """Best labels of many word sequences at once: scores (text, word, language), lengths of the texts."""
     n, steps, _ = scores.shape
-    best, back = scores[:, 0].copy(), np.empty(scores.shape[:2], np.int8)
+    best, back = scores[:, 0].copy(), np.empty(scores.shape[:2], np.int32)
     stays = np.zeros(scores.shape, bool)
     for t in range(1, steps):
         live = int(np.searchsorted(-lengths, -t))  # texts come longest first
@@ -125,7 +144,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
         back[:live, t] = top
         stays[:live, t] = best[:live] >= jump[:, None]
         best[:live] = np.where(stays[:live, t], best[:live], jump[:, None]) + scores[:live, t]
-    labels = np.full((n, steps), -1, np.int8)
+    labels = np.full((n, steps), -1, np.int32)
     state = best.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         live = int(np.searchsorted(-lengths, -t))
@@ -141,7 +160,7 @@ def label_words(model: Model, texts: list[str | None], switch: float = SWITCH) -
     numbers = []
     for t in texts:
         numbers.append(np.array(model.numbers(words_of(t)), np.int64) if t else np.zeros(0, np.int64))
-    out: list = [(np.zeros(0, np.int8), np.zeros(0, np.int32))] * len(texts)
+    out: list = [(np.zeros(0, np.int32), np.zeros(0, np.int32))] * len(texts)
     order = sorted((i for i in range(len(texts)) if len(numbers[i])), key=lambda i: -len(numbers[i]))
     at = 0
     while at < len(order):
@@ -162,12 +181,12 @@ def label_words(model: Model, texts: list[str | None], switch: float = SWITCH) -
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from labelled documents; None if there are none with a letter.
 
-    About SAMPLE_DOCS documents are counted, chosen by a hash of their id, so in every run the same. Their n-gram counts are summed by Spark; the driver gets
-    the NGRAMS most frequent ones.
+    About SAMPLE_DOCS documents of each language are counted, chosen by a hash of their id, so in every run the same.
+    Their n-gram counts are summed by Spark; the driver gets one row for each n-gram of the sample.
     """
-    sample = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(1.0, SAMPLE_DOCS / max(1, sample.count()))
-    sample = sample.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    labelled = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    shares = labelled.groupBy("lang").agg((SAMPLE_DOCS / F.greatest(F.count(F.lit(1)), F.lit(SAMPLE_DOCS)) * (1 << 30)).cast("long").alias("upto"))
+    sample = labelled.join(written(shares, "language-shares"), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("upto")).select("text", "lang")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: Counter = Counter()
@@ -175,15 +194,20 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 for word, n in Counter(words_of(text)).items():
                     grams[lang, f"\t{_NAMES[script_of(word[0])]}"] += n
-                    for g in ngrams(word[:64]):
+                    for g in ngrams(word):
                         grams[lang, g] += n
-        rows = [(k[0], k[1], n) for k, n in grams.items()]
-        for at in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[at : at + 50_000], columns=["lang", "gram", "n"])
+                if len(grams) > FLUSH:
+                    yield flushed(grams)
+        if grams:
+            yield flushed(grams)
+
+    def flushed(grams: Counter) -> pd.DataFrame:
+        out = pd.DataFrame([(*k, n) for k, n in grams.items()], columns=["lang", "gram", "n"])
+        grams.clear()
+        return out
 
     counts = sample.mapInPandas(counted, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = counts.orderBy(F.col("gram").startswith("\t").desc(), F.desc("all"), "gram").limit(NGRAMS).toPandas()
+    top = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).toPandas().sort_values("gram", ignore_index=True)
     languages = sorted({lang for by in top["by"] for lang in by})
     if not languages:
         return None

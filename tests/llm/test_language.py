@@ -1,11 +1,14 @@
 import itertools
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.language import Model, identify, is_held_out, label_words, op6_language, script_of, train, viterbi
+from ledgerlight.llm.language import SCRIPT_SHARE, SWITCH, Model, identify, is_held_out, label_words, op6_language, script_of, train, viterbi, words_of
 
 SF = "/root/testdata/sf0.01"
 TRAIN = [("en", "the house and the garden are near the river where they went"), ("de", "das haus und der garten liegen nahe bei dem fluss wohin sie gingen"),
@@ -67,3 +70,86 @@ def test_odd_texts(spark, model):
 def test_words_are_scored_once():
     m = Model(["a"], {}, np.zeros((1, 1), np.float32), np.ones((13, 1), bool))
     assert m.numbers(["x", "y", "x"]) == [0, 1, 0]
+
+
+def brute(training, text):
+    """Language and score of a text by the model's definition, in plain Python."""
+    words = lambda t: [w for r in re.findall(r"[^\W\d_]+", t.lower()) for w in split(r)]
+
+    def split(run):
+        out = []
+        for ch in run:
+            if out and len(out[-1]) < 64 and script_of(out[-1][0]) == script_of(ch):
+                out[-1] += ch
+            else:
+                out.append(ch)
+        return out
+
+    def grams(w):
+        p = f"<{w}>"
+        return [p[i : i + n] for n in range(1, 5) for i in range(len(p) - n + 1) if n > 1 or p[i] not in "<>"]
+
+    langs = sorted({lang for _, lang in training})
+    counts, scripts = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, lang in training:
+        for w in words(t):
+            counts[lang].update(grams(w))
+            scripts[lang][script_of(w[0])] += 1
+    kinds = {g for c in counts.values() for g in c}
+    whole = {x: sum(counts[x].values()) + 0.5 * (len(kinds) + 1) for x in langs}
+
+    def score(w, lang):
+        g = grams(w)
+        logs = {x: sum(math.log((counts[x][i] + 0.5) / whole[x]) for i in g) for x in langs}
+        may = {x: scripts[x][script_of(w[0])] >= SCRIPT_SHARE * max(1, sum(scripts[x].values())) for x in langs}
+        if not any(may.values()):
+            return 0.0
+        return (logs[lang] - max(logs.values())) * min(1.0, 8 / len(g)) if may[lang] else -50.0
+
+    seq = words(text or "")
+    if not seq:
+        return "und", 0.0
+    best = {x: (score(seq[0], x), [x]) for x in langs}
+    for w in seq[1:]:
+        best = {x: max(((v - SWITCH * (p[-1] != x), p) for v, p in best.values()), key=lambda c: c[0]) for x in langs}
+        best = {x: (v + score(w, x), [*p, x]) for x, (v, p) in best.items()}
+    path = max(best.values(), key=lambda c: c[0])[1]
+    letters = Counter()
+    for w, x in zip(seq, path, strict=True):
+        letters[x] += len(w)
+    lang = max(langs, key=lambda x: letters[x])
+    return lang, letters[lang] / sum(letters.values())
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(70).collect()]
+    training, asked = docs[:40], docs[40:]
+    texts = [(i, t[:1500] if t else t) for i, t, _ in asked] + [(-1, "漢字 и дом the house"), (-2, "thehouse" * 40 + "дом" * 50), (-3, None)]
+    model = train(spark.createDataFrame(training, "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        lang, score = brute([(t, lang) for _, t, lang in training if t and lang], t)
+        assert found[i][0] == lang and found[i][1] == pytest.approx(score, abs=1e-9), i
+
+
+def test_many_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: f"x{i:03d}"
+    word = lambda i, j: letters[i % 26] * 2 + letters[i // 26] + letters[(i * 7 + j) % 26] + letters[i % 26]
+    rows = [(i, " ".join(word(i, j) for j in range(12)), name(i)) for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in identify(df, train(df)).collect()} == {i: name(i) for i in range(140)}
+
+
+def test_long_runs_and_scripts_are_cut():
+    assert words_of("Abc" * 50 + "дом漢字 x") == [("abc" * 50)[:64], ("abc" * 50)[64:128], ("abc" * 50)[128:], "дом", "漢字", "x"]
+    assert words_of("naïve µm") == ["naïve", "µ", "m"]
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    from ledgerlight.llm import language
+
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 20)
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(5000 + i, "talo ja puutarha ovat joen luona", "fi") for i in range(3)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fi"]
