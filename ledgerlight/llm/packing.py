@@ -1,7 +1,7 @@
 """Packing of tokenised documents into fixed-length sequences.
 
-Documents are dealt at random (by a hash) to groups of about GROUP documents; each group is
-packed by itself. A document is cut at multiples of the sequence length; whole sequences stand
+Documents are dealt at random (by a hash) to groups of about GROUP documents and no more than about GROUP_BYTES
+of text; each group is packed by itself. A document that is there more than COPIES times is dealt copy by copy. A document is cut at multiples of the sequence length; whole sequences stand
 alone, and the rests go, longest first, into the first sequence with room. That sequence is found
 in a tournament tree whose leaves are the remaining capacities and whose inner nodes hold the
 larger of their two.
@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, table
+from .common import parts_for, table, text_key
 
-LENGTH, GROUP = 2048, 2048
+LENGTH, GROUP, GROUP_BYTES, COPIES = 2048, 2048, 1 << 24, 64
 #: Entries of a worker's cache of tokenised words and pieces, more than a usual group has (some 250,000, or 50 MB). It's
 #: emptied after each group, so that an idle worker holds nothing.
 CACHE = 400_000
@@ -153,10 +153,15 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     encoder() gives, on the worker, the function from a text to its ids as little-endian unsigned
     32-bit numbers (its forget(), if it has one, is called after a group); end_id follows each document. A null text counts as empty: end_id alone. Repeated
     rows are packed as often as they occur. Equal lengths are taken in the order of doc_id. An empty
-    table gives no rows. Sequences are not padded here: the ids after the last offset are free.
+    table gives no rows. Sequences are not padded here: the ids after the last offset are free. Only the id and
+    the text are read: other columns, whatever their names, play no part.
     """
-    n = docs.count()
-    groups = max(1, -(-n // group))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    same = ["doc_id", F.octet_length("text").alias("size"), text_key(F.col("text")).alias("key")]
+    counts = docs.select(*same).groupBy("doc_id", "size", "key").agg(F.count(F.lit(1)).alias("copies"))
+    n, size, most = counts.agg(F.sum("copies"), F.sum(F.col("copies") * F.coalesce("size", F.lit(0))), F.max("copies")).first()
+    n = n or 0
+    groups = max(1, -(-n // group), -(-(size or 0) // GROUP_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(g: pd.DataFrame) -> pd.DataFrame:
@@ -179,10 +184,16 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
             "sequence_id": [s for _, s, _ in placed], "offset": [o for _, _, o in placed],
         })
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(5)), F.lit(groups))
-    )
-    parts = parts_for(n, 2 * group, docs.sparkSession)
+    rows = docs.withColumn("copy", F.lit(0).cast("long"))
+    if (most or 0) > COPIES:  # one row of each such document, and as many copies of it as there are, each with a number
+        many = counts.filter(F.col("copies") > COPIES).select("doc_id", "key", "copies")
+        alike = (F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("r.key") == F.col("m.key"))
+        keyed = rows.withColumn("key", text_key(F.col("text"))).alias("r")
+        once = keyed.join(many.alias("m"), alike).groupBy("r.doc_id", "r.key").agg(F.first("r.text").alias("text"), F.first("m.copies").alias("copies"))
+        dealt_out = once.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        rows = keyed.join(many.alias("m"), alike, "left_anti").select("doc_id", "text", "copy").unionByName(dealt_out)
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.length("text"), "copy"), F.lit(groups))).drop("copy")
+    parts = parts_for(groups, 2, docs.sparkSession)
     return dealt.repartition(parts, "group").groupBy("group").applyInPandas(packed, PIECES)
 
 

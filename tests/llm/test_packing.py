@@ -84,3 +84,15 @@ def test_first_fit_is_first_fit(seed):
 
 def test_no_sizes():
     assert first_fit([], 10) == ([], [])
+
+
+def test_repeated_rows_and_long_texts_are_dealt_apart(spark, monkeypatch):
+    from ledgerlight.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_BYTES", 20_000)
+    rows = [(None, "same text again")] * 900 + [(7, None)] * 200 + [(i, "word " * (i % 50 * 20)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = pack(df, public_encoder()).collect()
+    assert len({r["sequence_id"] >> 32 for r in out if r["doc_id"] is None}) > 5
+    n = {i: len(x) for i, x in enumerate(ids_of([t for _, t in rows]))}
+    assert sum(r["length"] for r in out) == sum(n.values()) and sum(r["doc_id"] is None for r in out) == 900 and sum(r["doc_id"] == 7 for r in out) == 201
