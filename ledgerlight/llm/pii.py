@@ -19,20 +19,37 @@ from pyspark.sql import functions as F
 from .common import table, text_key, written
 
 REVEAL, REMOVE, SUPPORT = 0.8, 0.98, 3
-#: Characters of context on each side of a base span (more than a text can have: all of it), and the least letters of a term.
-WINDOW, LETTERS = 1 << 31, 3
+#: The least letters of a term.
+LETTERS = 3
 KINDS = ["email", "ip", "card", "phone"]
-#: As the kinds are defined, but a run of characters that can't start a match is tried once, not from each of
-#: its characters; and shorter digit runs than a card's are not tried at all.
+#: Stands in a marked text for a dot or separator that no match can hold there.
+MARK = "\x01"
+#: As the kinds are defined, over marked texts: Java's matcher recurses into every repetition of a group, so a text with
+#: thousands of labels or digits in a row would overflow its stack. In a marked text plain character classes say the same.
+#: A run of characters that can't start a match is tried once, not from each of its characters; and shorter digit
+#: runs than a card's are not tried at all.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:(?<![A-Za-z0-9._%+{MARK}-])|\G)[A-Za-z0-9._%+{MARK}-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
     "ip": r"(?:(?<![0-9])|\G)[0-9]+(?:\.[0-9]+){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9]){12,}",
+    "card": r"[0-9][0-9\x20-]{12,}",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text with a match has for certain, cheap to look for.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = rf"\p{{L}}{{{LETTERS},}}"
+#: Matches whose places are added up at once; the sums of the blocks follow, so a text with n matches costs n * BLOCK, not n * n.
+BLOCK = 256
+SPANS = "array<struct<start: int, end: int, value: string>>"
+
+
+def marked(text: Column, kind: str) -> Column:
+    """The text, as long as before, with every dot of no domain (every separator of no card) marked."""
+    plain = F.replace(text, F.lit(MARK), F.lit("\x02"))  # neither is part of any match
+    if kind == "email":
+        return F.regexp_replace(plain, r"(?<![A-Za-z0-9-])\.|\.(?![A-Za-z0-9-])", MARK)
+    if kind == "card":
+        return F.regexp_replace(plain, r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", MARK)
+    return text
 
 
 def located(text: Column, pattern: str | Column) -> Column:
@@ -40,16 +57,28 @@ def located(text: Column, pattern: str | Column) -> Column:
 
     The gaps between matches and the matches have their lengths; a start is the sum of those before.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out"))
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.greatest(F.size(values), F.lit(0))), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def placed(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def moved(acc: Column, x: Column) -> Column:
+        here = F.transform(x["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["value"].alias("value")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    def every(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: placed(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK))))
+        whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), moved, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(pairs) > 0, whole).otherwise(none)
+
+    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), -1)
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull())  # one more gap than values
+    return F.element_at(F.transform(F.array(pairs), every), 1)  # so that the pairs are made once
 
 
 def _digits(value: Column) -> Column:
@@ -74,15 +103,16 @@ def _holds(kind: str, value: Column) -> Column:
         part = lambda p: F.regexp_replace(p, "^0+", "")
         return F.forall(F.split(value, r"\."), lambda p: F.when(F.length(part(p)) > 3, False).otherwise(F.coalesce(part(p).try_cast("int"), F.lit(0)) <= 255))
     n = F.length(_digits(value))
-    return n.between(13, 19) & _luhn(_digits(value)) if kind == "card" else n.between(9, 15)
+    return F.when(n.between(13, 19), _luhn(_digits(value))).otherwise(False) if kind == "card" else n.between(9, 15)
 
 
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value) by kind, then start."""
 
     def of(kind: str) -> Column:
-        found = F.filter(located(text, PATTERNS[kind]), lambda m: _holds(kind, m["value"]))
-        full = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        found = F.filter(located(marked(text, kind), PATTERNS[kind]), lambda m: _holds(kind, m["value"]))
+        value = lambda m: F.replace(m["value"], F.lit(MARK), F.lit(".")) if kind == "email" else m["value"]
+        full = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), value(m).alias("value")))
         hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else F.rlike(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}"))
         return F.when(hint, full).otherwise(F.array().cast("array<struct<kind: string, start: int, end: int, value: string>>"))
 
@@ -100,24 +130,20 @@ def entities_of(spans: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda e: e.isNotNull()))
 
 
-def terms_of(text: Column, spans: Column) -> Column:
-    """The distinct words of a text that no base span touches, in lower case."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap, F.lit("\n")).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    left = F.aggregate(order, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text that no base span touches, in lower case. Of the kinds, only e-mails hold letters."""
+    left = F.when(F.contains(text, F.lit("@")), F.regexp_replace(marked(text, "email"), PATTERNS["email"], "\n")).otherwise(text)
     return F.array_distinct(F.regexp_extract_all(F.lower(left), F.lit(WORD), F.lit(0)))
 
 
-def term_spans(text: Column, spans: Column, terms: Column) -> Column:
-    """Array of (kind, start, end, action) where the terms (a map to their actions) stand and no base span touches them."""
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys(terms), "|"), F.lit(r")(?!\p{L})"))
-    at = F.filter(located(text, pattern), lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    made = F.transform(at, lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.element_at(terms, F.lower(w["value"])).alias("action")))
+def term_spans(text: Column, terms: Column) -> Column:
+    """Array of (kind, start, end, action) where the terms (a map to their actions) stand and no base span touches them.
+
+    E-mails are matched along with the terms, so that none is found within one; a word whose last letters begin an e-mail is none.
+    """
+    before_mail = rf"(?!(?<=[A-Za-z])[A-Za-z0-9._%+{MARK}-]*+@[A-Za-z0-9-]+\.)"
+    pattern = F.concat(F.lit(PATTERNS["email"] + r"|(?iu:(?<!\p{L})(?:"), F.array_join(F.map_keys(terms), "|"), F.lit(r")(?!\p{L}))" + before_mail))
+    made = F.transform(located(marked(text, "email"), pattern), lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.element_at(terms, F.lower(w["value"])).alias("action")))
     return F.filter(made, lambda w: w["action"].isNotNull())
 
 
@@ -148,7 +174,8 @@ def sanitise(docs: DataFrame, reveal: float = REVEAL, remove: float = REMOVE, su
     """docs with `spans` added: array of (kind, start, end, action), base spans by kind, then `term` spans, each by start.
 
     Null and empty texts have no spans. Repeated rows get the same spans and count as documents of their
-    own, but as one text for the support. A term of several entities is one span, removed if any asks for it.
+    own, but as one text for the support. A term of several entities is one span, removed if any asks for it. Texts may
+    be of any length, with runs of any number of digits or labels.
     An empty table gives no rows. A column `spans` of docs is replaced.
     """
     docs = docs.drop("spans")
@@ -157,7 +184,7 @@ def sanitise(docs: DataFrame, reveal: float = REVEAL, remove: float = REMOVE, su
     slim = written(rows.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), spans.alias("spans")), "pii-base")
     base = slim.filter(F.size("spans") > 0)
     found = rows.alias("r").join(base.dropDuplicates(["id", "key"]).alias("b"), (F.col("r._key") == F.col("b.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("b.id"))).select(
-        "b.id", "b.key", entities_of(F.col("b.spans")).alias("entities"), terms_of(F.col(f"r.{text_col}"), F.col("b.spans")).alias("terms")
+        "b.id", "b.key", entities_of(F.col("b.spans")).alias("entities"), terms_of(F.col(f"r.{text_col}")).alias("terms")
     )
     found = written(found, "pii-terms")
     over = written(disclosures(found, docs, text_col, reveal, remove, support), "pii-over")
@@ -173,7 +200,7 @@ def sanitise(docs: DataFrame, reveal: float = REVEAL, remove: float = REMOVE, su
     )
     none = F.array().cast("array<struct<kind: string, start: int, end: int, action: string>>")
     plain = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("generalise").alias("action")))
-    new = F.when(F.col("_added").isNotNull(), term_spans(F.col(text_col), F.col("_base"), F.col("_added"))).otherwise(none)
+    new = F.when(F.col("_added").isNotNull(), term_spans(F.col(text_col), F.col("_added"))).otherwise(none)
     return rows.join(marks, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
         *docs.columns, F.when(F.col("_base").isNull(), none).otherwise(F.concat(plain, new)).alias("spans")
     )

@@ -6,9 +6,11 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.pii import LETTERS, REVEAL, SUPPORT, WINDOW, op10_pii, redacted, sanitise
+from ledgerlight.llm.pii import LETTERS, REVEAL, SUPPORT, op10_pii, redacted, sanitise
 
 SF = "/root/testdata/sf0.01"
+#: Characters around a base span that are its context: all of them.
+WINDOW = 1 << 31
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -112,3 +114,42 @@ def test_copies_are_one_text_for_the_support(spark, n):
     rows = [(i, "call Quxley now at qux@y.example please") for i in range(10 * n)] + [(1000 + i, f"call now at the desk please {i}") for i in range(30)]
     assert have(sanitise(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
     assert not any("term" in r[-1] for r in brute(rows))
+
+
+def long_texts(n):
+    return ["7" * n, "1 " * n, "1  " * n + "4111 1111 1111 1111", "a@" + "b." * n + "c", "x@y" + ".z" * n + "..q@r.s", "." * n + "@a.b", "a.b" * n + "@c.d..e@f.g", "+1" + "()" * n + "234567890", "1.2.3.4 " * n, "me@x.yz, " * n,
+            "1." * n + "2", "4111-1111-1111-1111--4111 1111 1111 1111 -- 5500 0055 5555 5559 ", "a\x01b@c.d\x01.e@f.g \x02.h@i.j", ".a@b.c -4111111111111111-"]
+
+
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    return {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in sanitise(df).collect()}
+
+
+def test_long_runs_equal_brute_force(spark):
+    texts = long_texts(5000)
+    out = spans_of(spark, texts)
+    for i, t in enumerate(texts):
+        assert out[i] == [(k, a, b) for k, a, b, _ in base(t)], i
+
+
+def test_very_long_runs(spark):
+    """Here brute force is too slow; the matches are known."""
+    n = 100_000
+    out = spans_of(spark, ["7" * 1_000_000, *long_texts(n)[1:11]])
+    mail = lambda a, b: [("email", a, b)]
+    want = [[], [], [("card", 3 * n, 3 * n + 19)], mail(0, 2 * n + 3), mail(0, 3 + 2 * n) + mail(3 + 2 * n, 2 * n + 10), mail(0, n + 4), mail(0, 3 * n + 4) + mail(3 * n + 4, 3 * n + 11), [("phone", 0, 2 * n + 11)],
+            [("ip", 8 * i, 8 * i + 7) for i in range(n)], [("email", 9 * i, 9 * i + 7) for i in range(n)], [("ip", 8 * i, 8 * i + 7) for i in range(n // 4)]]
+    assert [out[i] for i in range(len(want))] == want
+
+
+def test_terms_beside_mails(spark):
+    """Words that touch an e-mail are none of the terms; others are, however near."""
+    from ledgerlight.llm.pii import term_spans
+
+    texts = ["Zorb zorb@x.yz zorb", "ézorb@x.yz zorb", "zorb_é zorb.a@x.yz zorb@", "ééé_zorb@x.yz ééé", "zorb@x zorb.@x.y-zorb zorb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("terms", F.create_map(*[F.lit(x) for x in ("zorb", "remove", "ézorb", "remove", "ééé", "remove")]))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["t"]] for r in df.select("doc_id", term_spans(F.col("text"), F.col("terms")).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        spans = base(t)
+        assert got[i] == [m.span() for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in ("zorb", "ézorb", "ééé") and not any(a < m.end() and m.start() < b for _, a, b, _ in spans)], t
