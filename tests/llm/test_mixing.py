@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -65,3 +66,40 @@ def test_odd_rows(spark):
     assert mix(spark.createDataFrame([(None, "a", "x y")], SCHEMA)).count() == 1
     made = copied(mix(df))
     assert made.count() == mix(df).agg(F.sum("copies")).first()[0]
+
+
+def rates(docs, want, most=3):
+    """Rates that meet want (words of each source) by bisection, in plain Python: source and size to rate."""
+    out = {}
+    for s in {s for s, _ in docs}:
+        zs = [z for x, z in docs if x == s and z]
+        rate = lambda b, z: most / (1 + (most - 1) * math.exp(-max(-700.0, min(700.0, b * z))))
+        low, high = -1e4, 1e4
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(rate(mid, z) * z for z in zs) < want[s] else (low, mid)
+        out |= {(s, z): rate(low, z) for z in zs}
+    return out
+
+
+def test_rates_are_tilted_by_size(spark):
+    """The dual's solution equals a bisection; copies of a size differ from it by what diffusion carries."""
+    docs = {i: ("ab"[i % 2], "w " * (1 + i * i % 97)) for i in range(3000)}
+    sizes = [(s, words(t)) for s, t in docs.values()]
+    whole = {s: sum(z for x, z in sizes if x == s) for s in "ab"}
+    want = rates(sizes, targets(whole))
+    df = spark.createDataFrame([(i, *v) for i, v in docs.items()], SCHEMA)
+    per = {(r["source"], r["size"]): (r["n"], r["c"]) for r in mix(df).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")).collect()}
+    error = dict.fromkeys("ab", 0.0)
+    for s, z in sorted(per, key=lambda k: -k[1]):
+        n, c = per[s, z]
+        error[s] += want[s, z] * n * z
+        assert c == min(max(math.floor(error[s] / z + 0.5), 0), 3 * n) or abs(error[s] / z - c) < 0.5 + 1e-3
+        error[s] -= c * z
+    tilted = [want["b", z] for s, z in sorted(per) if s == "b"]
+    assert tilted[0] < tilted[-1] and max(abs(e) for e in error.values()) <= 1
+
+
+def test_extreme_sizes_and_many_sources(spark):
+    docs = {0: ("long", "x " * 200_000)} | {i: ("long", "y " * (i % 7 + 1)) for i in range(1, 100)} | {1000 + i: (f"s{i:03d}", "z " * (i + 1)) for i in range(200)}
+    check(asked(spark.createDataFrame([(i, *v) for i, v in docs.items()], SCHEMA)).collect(), docs, lambda t: max(0.02 * t + 120, 0.3 * t if t > 100_000 else 0))
