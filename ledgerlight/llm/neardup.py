@@ -2,8 +2,8 @@
 
 A document's set of word shingles has a signature of HASHES symbols, the low bits of its
 minimal hashes. Two sets of Jaccard similarity s differ in about HASHES * (1 - s) symbols; the
-join finds all pairs that differ in at most `distance` symbols, which is the mean at the
-wanted similarity plus five standard deviations. By the pigeonhole principle, of m chunks of
+join finds all pairs that differ in at most `distance` symbols, the least number that a pair of just the
+wanted similarity exceeds with a probability of at most MISS. By the pigeonhole principle, of m chunks of
 the signature one has at most distance // m wrong symbols; m is the least number that makes this
 MOST_ERRORS. Each chunk gives one key for every way to blank that many of its symbols, so two
 signatures within the distance share a key for certain.
@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import removed, table, written
 from .shingles import mixed, overlaps, shingle_sets
 
-HASHES, MOST_ERRORS, DEVIATIONS = 64, 1, 5.0
+HASHES, MOST_ERRORS = 64, 1
+#: Probability at which the signatures of a pair of exactly the wanted similarity are too far apart; it falls fast above that.
+MISS = 1e-7
 #: Signatures of a bucket, and texts of a family, in one block; a cell holds two blocks at most.
 SIGNATURES, TEXTS = 4096, 512
 #: Documents whose shingles a task holds at once.
@@ -51,8 +53,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def plan(similarity: float) -> tuple[int, list[tuple[int, ...]]]:
     """The signature distance, and the symbols of each key."""
-    spread = math.sqrt(HASHES * similarity * (1 - similarity))
-    distance = min(HASHES - 1, math.ceil(HASHES * (1 - similarity) + DEVIATIONS * spread))
+    tail, distance = 1.0, -1  # tail: the probability of more than `distance` differing symbols
+    while tail > MISS and distance < HASHES - 1:
+        distance += 1
+        tail = sum(math.comb(HASHES, d) * (1 - similarity) ** d * similarity ** (HASHES - d) for d in range(distance + 1, HASHES + 1))
     chunks = distance // (MOST_ERRORS + 1) + 1
     edges = [round(i * HASHES / chunks) for i in range(chunks + 1)]
     keys = []
@@ -94,15 +98,17 @@ def components(links: DataFrame, what: str) -> DataFrame:
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # links are made once for both
     both = written(links.select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct(), what)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), what + "-labels")
+    table_ = labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), what + "-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
         new = written(step.join(jump, "low", "left").select("node", F.col("label").alias("old"), F.least("low", F.coalesce("next", "low")).alias("label")), what + "-labels")
-        changed = new.filter("old <> label").limit(1).count()
+        removed(table_)
+        changed, table_ = new.filter("old <> label").limit(1).count(), new
         labels = new.select("node", "label")
         if not changed:
+            removed(both)
             return labels.select("node", F.col("label").alias("component"))
 
 
@@ -194,7 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     document is kept. Null and empty texts and texts without words have an empty set and are
     linked with nothing. Repeated rows (equal ids) share a component and are all kept if one is.
     A row with a null id joins its component and is never kept; if its component has no other
-    id, component_id is null. An empty table gives no rows.
+    id, component_id is null. An empty table gives no rows. Only the id and the text are read: other columns,
+    whatever their names, play no part.
     """
     share = round(100 * similarity)
     distance, keys = plan(similarity)

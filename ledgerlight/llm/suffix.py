@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import parts_for, removed, table, text_key, written
 
 SIZE, GRAM = 200, 64
 #: Bytes that one scanning step holds, of one index, and the most distinct segments of an indexed anchor.
@@ -231,7 +231,9 @@ def _indexed(distinct: DataFrame, size: int) -> DataFrame:
 
     total = distinct.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-total // INDEX_BYTES))
-    return distinct.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(index, MARKS)
+    # as many tasks as buckets: an index is work for a processor, however few bytes it has
+    dealt = distinct.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).repartition(parts_for(buckets, 1, distinct.sparkSession), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(index, MARKS)
 
 
 def _counted(distinct: DataFrame, size: int) -> DataFrame:
@@ -254,13 +256,16 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
 
     Every byte that a repeated string of `size` bytes covers goes. Null and empty texts have no bytes
     and no spans. Repeated rows repeat each other, so all their strings are duplicates. Texts shorter
-    than `size` stay. An empty table gives no rows.
+    than `size` stay. An empty table gives no rows. Only the id and the text are read: other columns, whatever their
+    names, play no part.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     runs = written(scan(docs, size, gram), "suffix-runs")
     anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
-    repeated = anchors.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
+    # written, so that the join has a plain table on each side, and a frequent anchor's runs can be split
+    repeated = written(anchors.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")), "suffix-anchors")
     shared = written(runs.join(repeated, "anchor"), "suffix-shared")
+    removed(runs, repeated)
     differ = shared.filter("differ")
     where = F.min(F.struct("doc_id", "key", "start")).alias("at")
     distinct = written(differ.groupBy("anchor", "segment", "number").agg(F.count(F.lit(1)).alias("n"), where), "suffix-distinct")
@@ -276,7 +281,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
     same = lambda a, b: (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
     one_each = docs.alias("d").join(asked.alias("a"), same("d", "a")).select("d.text", "a.found")
     segments = written(one_each.mapInPandas(cut, "anchor long, segment long, number int, bytes binary").dropDuplicates(["anchor", "segment", "number"]), "suffix-segments")
-    many = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor")
+    many = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "suffix-many")
     marks = written(_indexed(segments.join(many, "anchor", "left_anti"), size).unionByName(_counted(segments.join(many, "anchor", "left_semi"), size)), "suffix-marks")
     whole = shared.filter("not differ").select("doc_id", "key", "start", "number")
     twice = differ.join(distinct.filter("n > 1").select("anchor", "segment", "number"), ["anchor", "segment", "number"], "left_semi").select("doc_id", "key", "start", "number")
