@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample by a k-means whose clusters repel point
 so the lists come out balanced. They're few enough (MOST_LISTS) for every task, which searches
 them best-first over a graph of their neighbours. Each vector is posted to its nearest list and
 to the next ones that are nearly as near (boundary vectors: distance at most 1 + SPILL times the
-least, up to COPIES lists). A query reads the lists within 1 + PRUNE times its least distance.
+least, up to COPIES lists). A query reads the lists within 1 + PRUNE times its least distance, PROBES at most however
+many there are, and on beyond that distance until these lists hold enough other vectors for certain. Queries that
+still find too few read all lists.
 
 Lists and the queries that read them meet in cells of bounded size: a list with many vectors or
 many queries is dealt over several cells by hashes of their ids.
@@ -29,8 +31,8 @@ SAMPLE = 20_000
 LIST_SIZE, MOST_LISTS = 200, 4096
 COPIES, SPILL = 4, 0.3
 PRUNE = 0.5
-#: Lists that a query may read: at least this many, and this share of all.
-LEAST_PROBES, PROBE_SHARE = 64, 8
+#: Lists that a query reads at most.
+PROBES = 64
 CELL_VECTORS, CELL_QUERIES = 4096, 1024
 DEGREE, LONG_LINKS = 20, 6
 
@@ -111,13 +113,19 @@ class CentroidGraph:
         return np.array([-c for _, c in best]), np.array([s for s, _ in best])
 
 
-def _select(graph: CentroidGraph, vecs: np.ndarray, width: int, ratio: float, most: int) -> list[list[int]]:
-    """For each unit vector the lists within `ratio` times its least distance, at most `most`."""
+def _select(graph: CentroidGraph, vecs: np.ndarray, width: int, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0) -> list[list[int]]:
+    """For each unit vector the lists within `ratio` times its least distance, at most `most`.
+
+    With the sizes of the lists, those that follow are taken too until all together have `need` vectors.
+    """
     out = []
     for v in vecs:
         lists, sims = graph.nearest(v, width)
         dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
-        out.append(lists[dist <= ratio * dist[0] + 1e-12][:most].tolist())
+        taken = dist <= ratio * dist[0] + 1e-12
+        if sizes is not None:
+            taken |= np.cumsum(sizes[lists]) - sizes[lists] < need
+        out.append(lists[taken][:most].tolist())
     return out
 
 
@@ -127,7 +135,8 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     Score: the cosine in double precision. Null, empty and zero vectors and vectors with a null or
     non-finite component take no part. Vectors shorter than the longest are continued with zeros.
     Ties go to the smaller id; repeated rows are candidates of their own. With fewer than k other
-    vectors, all are returned. An empty table gives no rows.
+    vectors, all are returned. An empty table gives no rows. Only id and vec are read: other columns, whatever
+    their names, play no part.
     """
     spark = rows.sparkSession
     rows = rows.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
@@ -139,20 +148,36 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     sample = unit(matrix(bounded_sample(reps, SAMPLE)["vec"], width))
     lists = int(min(MOST_LISTS, len(sample), max(1, n // LIST_SIZE)))
     shared = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(sample, lists)))
-    probes = int(min(lists, max(LEAST_PROBES, lists // PROBE_SHARE)))
+    probes = min(lists, PROBES)
 
-    def choose(width_: int, ratio: float, most: int):
+    def choose(width_: int, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0):
         def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    yield b.assign(lists=_select(shared.value, unit(matrix(b["vec"], width)), width_, ratio, most))
+                    yield b.assign(lists=_select(shared.value, unit(matrix(b["vec"], width)), width_, ratio, most, sizes, need))
 
         return chosen
 
     postings = reps.mapInPandas(choose(4 * COPIES, 1 + SPILL, COPIES), "rep long, ids array<long>, vec array<double>, lists array<long>")
     postings = written(postings.withColumn("list", F.explode("lists")).drop("lists"), "ann-postings")
-    queries = rows.filter(is_query(F.col("id"))).mapInPandas(choose(probes, 1 + PRUNE, probes), "id long, vec array<double>, lists array<long>")
+    sizes = np.zeros(lists, np.int64)
+    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each list
+        sizes[r["list"]] = r["n"]
+    asked = rows.filter(is_query(F.col("id"))).select("id", "vec")
+    queries = asked.mapInPandas(choose(probes, 1 + PRUNE, probes, sizes, COPIES * (k + 1)), "id long, vec array<double>, lists array<long>")
     queries = written(queries.withColumn("list", F.explode("lists")).drop("lists"), "ann-queries")
+    found = written(_scanned(postings, queries, width, k), "ann-found")
+    best = best_ids(found, k)
+    others = rows.count() - 1
+    short = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, others))
+    short = written(asked.join(short, asked["id"] == short["query_id"], "left_anti").withColumn("list", F.explode(F.lit(np.flatnonzero(sizes).tolist()).cast("array<long>"))), "ann-short")
+    if others > 0 and short.limit(1).count():
+        best = best_ids(found.unionByName(_scanned(postings, short, width, k)), k)
+    return best
+
+
+def _scanned(postings: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+    """query_id, rep, ids, score of the best vectors in each list that a query reads."""
     cells = (
         postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_VECTORS).cast("int").alias("subs"))
         .join(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("blocks")), "list")
@@ -175,12 +200,11 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
         score = (q[i] * p[j]).sum(axis=1) / (qn[i] * pn[j])  # the same sum for a pair, whatever the block
         return pd.DataFrame({"query_id": query["id"].to_numpy()[i], "rep": post["rep"].to_numpy()[j], "ids": post["ids"].to_numpy()[j], "score": score})
 
-    found = (
+    return (
         left.select("list", "sub", "block", "rep", "ids", "vec").groupBy("list", "sub", "block")
         .cogroup(right.select("list", "sub", "block", "id", "vec").groupBy("list", "sub", "block"))
         .applyInPandas(scan, "query_id long, rep long, ids array<long>, score double")
     )
-    return best_ids(found, k)
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

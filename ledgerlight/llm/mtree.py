@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -34,9 +34,9 @@ REGION_SIZE, MOST_REGIONS = 4096, 1024
 TREE_VECTORS, PAGE, FANOUT = 8192, 128, 16
 BLOCK_QUERIES = 512
 #: Slack of the bounds against rounding, as a share of the largest distance.
-SLACK = 1e-9
-#: Sums below this are exact in doubles.
-EXACT = float(1 << 53)
+SLACK = 1e-7
+#: Sums below these are exact in doubles and in longs.
+EXACT, LONG = float(1 << 53), float(1 << 62)
 
 PAGES = "tree long, page int, leaf boolean, vectors binary, radius binary, to_parent binary, child binary, ids array<array<long>>"
 
@@ -88,12 +88,31 @@ def _page(tree, number, leaf, rows, radius, above, child, ids) -> dict:
             "to_parent": above.tobytes(), "child": child.tobytes(), "ids": ids}
 
 
+def products(a: np.ndarray, b: np.ndarray, bits: int, norm2: float) -> np.ndarray:
+    """Exact inner products of rows of integers, which are held divided by 2^bits; as longs where doubles can't hold them.
+
+    norm2: the largest square of a norm, as held. A product beyond a long becomes the nearest long.
+    """
+    if not bits and norm2 < EXACT:
+        return a @ b.T
+    a, b = np.ldexp(a, bits), np.ldexp(b, bits)
+    if np.ldexp(norm2, 2 * bits) < LONG:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
+    return np.clip(whole, LEAST, -LEAST - 1).astype(np.int64)
+
+
+#: The score of an empty place among longs.
+LEAST = -(1 << 63)
+
+
 class Best:
     """The `keep` best (score, then least rep) of each query of a block."""
 
     def __init__(self, n: int, keep: int, floor: np.ndarray) -> None:
         self.keep, self.floor = keep, floor
-        self.score, self.rep, self.ids = np.full((n, keep), -np.inf), np.full((n, keep), np.iinfo(np.int64).max), np.full((n, keep), None, object)
+        none = -np.inf if floor.dtype.kind == "f" else LEAST
+        self.score, self.rep, self.ids = np.full((n, keep), none, floor.dtype), np.full((n, keep), np.iinfo(np.int64).max), np.full((n, keep), None, object)
 
     def bound(self) -> np.ndarray:
         return np.maximum(self.score[:, -1], self.floor)
@@ -106,13 +125,17 @@ class Best:
         score = np.concatenate([self.score[who], scores], axis=1)
         rep = np.concatenate([self.rep[who], np.broadcast_to(reps, scores.shape)], axis=1)
         which = np.concatenate([self.ids[who], np.broadcast_to(ids, scores.shape)], axis=1)
-        order = np.lexsort((rep, -score), axis=1)[:, : self.keep]
+        order = np.lexsort((rep, -score if score.dtype.kind == "f" else ~score), axis=1)[:, : self.keep]
         take = lambda a: np.take_along_axis(a, order, axis=1)
         self.score[who], self.rep[who], self.ids[who] = take(score), take(rep), take(which)
 
 
-def search(pages: dict[int, dict], queries: np.ndarray, norm2: float, keep: int, floor: np.ndarray) -> Best:
-    """Best-first search of one tree by a block of queries (not lifted)."""
+def search(pages: dict[int, dict], queries: np.ndarray, norm2: float, keep: int, floor: np.ndarray, bits: int = 0) -> Best:
+    """Best-first search of one tree by a block of queries (not lifted).
+
+    floor: what a score has to reach, doubles where those hold all products and longs elsewhere. With bits, pages, queries
+    and norm2 are of vectors divided by 2^bits.
+    """
     best, width = Best(len(queries), keep, floor), queries.shape[1] + 1
     q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
     q2 = (q * q).sum(axis=1)
@@ -122,6 +145,7 @@ def search(pages: dict[int, dict], queries: np.ndarray, norm2: float, keep: int,
     def limit(who: np.ndarray) -> np.ndarray:
         """The largest distance at which a vector still matters to each query."""
         b = best.bound()[who]
+        b = np.where(b == LEAST, -np.inf, np.ldexp(b.astype(float), -2 * bits)) if b.dtype.kind == "i" else b
         return np.where(np.isinf(b), np.inf, np.sqrt(np.maximum(q2[who] + norm2 - 2 * np.where(np.isinf(b), 0, b), 0))) + slack
 
     everyone = np.arange(len(queries))
@@ -143,7 +167,7 @@ def search(pages: dict[int, dict], queries: np.ndarray, norm2: float, keep: int,
                 ids = [page["ids"][i] for i in np.flatnonzero(near)]
                 holder = np.empty(len(ids), object)
                 holder[:] = ids
-                best.merge(who, queries[who] @ rows[near, :-1].T, np.array([x[0] for x in ids], np.int64), holder)
+                best.merge(who, products(queries[who], rows[near, :-1], bits, norm2), np.array([x[0] for x in ids], np.int64), holder)
             continue
         radius, child = np.frombuffer(page["radius"]), np.frombuffer(page["child"], np.int64)
         if to_parent is not None:
@@ -167,19 +191,31 @@ def top_products(rows: DataFrame, is_query, k: int = 5, scale: int = 256) -> Dat
     Components become floor(scale * x); the score is the integer inner product. Null and empty
     vectors and those with a null or non-finite component take no part; a zero vector does.
     Vectors shorter than the longest are continued with zeros. Ties go to the smaller id; repeated
-    rows are candidates of their own. With fewer than k other vectors, all are returned. Products
-    that doubles can't hold exactly (norms over 2^53 in product) are refused. An empty table gives no rows.
+    rows are candidates of their own. With fewer than k other vectors, all are returned. Products are exact
+    whatever their size; one beyond a long counts as the nearest long. An empty table gives no rows. Only id and vec
+    are read: other columns, whatever their names, play no part.
     """
     spark = rows.sparkSession
     rows = rows.filter(finite(F.col("vec")))
-    rows = rows.select("id", F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vec"))
+    largest = F.lit(float(np.finfo(float).max))
+
+    def whole(y: Column) -> Column:
+        """floor, of which Spark gives a long; doubles beyond 2^53 are whole already."""
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, largest), -largest))
+
+    rows = rows.select("id", F.transform("vec", lambda x: whole(x.cast("double") * scale)).alias("vec"))
     reps = written(distinct_vectors(rows, k + 1), "mtree-vectors")
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    n, width, norm2 = reps.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.max(square)).first()
+    n, width, norm2, top = reps.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.max(square), F.max(F.array_max(F.transform("vec", F.abs)))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if norm2 >= EXACT:
-        raise ValueError("the vectors are too long for exact integer products")
+    bits = 0
+    if norm2 >= EXACT:  # the search then runs over vectors that a power of two divides, which loses no digit
+        bits = max(0, int(np.frexp(top)[1]) - 20)
+        smaller = F.transform("vec", lambda x: x * F.lit(2.0**-bits))
+        reps, rows = reps.withColumn("vec", smaller), rows.withColumn("vec", smaller)
+        norm2 = reps.agg(F.max(square)).first()[0]
+    exact = not bits and norm2 < EXACT
     regions = int(min(MOST_REGIONS, max(1, n // REGION_SIZE)))
     sample = lifted(matrix(bounded_sample(reps, SAMPLE)["vec"], width), norm2)
     pivots = _spread(sample, regions)
@@ -221,8 +257,9 @@ def top_products(rows: DataFrame, is_query, k: int = 5, scale: int = 256) -> Dat
             out = {"query_id": [], "rep": [], "ids": [], "score": []}
             if len(page) and len(query):
                 query = query.sort_values("id")
-                best = search({x["page"]: x for x in page.to_dict("records")}, matrix(query["vec"], width), norm2, k + 1, query["floor"].to_numpy())
-                some = ~np.isinf(best.score)
+                floor = query["floor"].to_numpy(float, na_value=-np.inf) if exact else query["floor"].fillna(LEAST).to_numpy(np.int64)
+                best = search({x["page"]: x for x in page.to_dict("records")}, matrix(query["vec"], width), norm2, k + 1, floor, bits)
+                some = best.rep != np.iinfo(np.int64).max
                 out = {"query_id": np.repeat(query["id"].to_numpy(), k + 1)[some.ravel()], "rep": best.rep[some], "ids": best.ids[some], "score": best.score[some].astype(np.int64)}
             return pd.DataFrame(out)
 
@@ -231,9 +268,9 @@ def top_products(rows: DataFrame, is_query, k: int = 5, scale: int = 256) -> Dat
             lambda a, b: run(b, a), "query_id long, rep long, ids array<long>, score long"
         )
 
-    home = written(visit(queries.select("id", "vec", F.lit(float("-inf")).alias("floor"), "region")), "mtree-home")
+    home = written(visit(queries.select("id", "vec", F.lit(None).cast("long").alias("floor"), "region")), "mtree-home")
     kth = home.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(
-        "id", F.when(F.size("s") > k, F.element_at("s", k + 1)).otherwise(F.lit(None)).cast("double").alias("floor")
+        "id", F.when(F.size("s") > k, F.element_at("s", k + 1)).otherwise(F.lit(None)).cast("long").alias("floor")
     )  # a home region gives k + 1 scores for each of its trees
     radii = [float(radius.get(r, -1.0)) for r in range(regions)]
 
@@ -243,16 +280,18 @@ def top_products(rows: DataFrame, is_query, k: int = 5, scale: int = 256) -> Dat
             if not len(b):
                 continue
             v = matrix(b["vec"], width)
-            f = b["floor"].to_numpy(dtype=float, na_value=-np.inf)
+            f = np.ldexp(b["floor"].astype("Float64").to_numpy(dtype=float, na_value=-np.inf), -2 * bits)
             at = np.sqrt(np.maximum((v * v).sum(axis=1) + norm2 - 2 * np.where(np.isinf(f), 0, f), 0))
             at = np.where(np.isinf(f), np.inf, at + SLACK * (at + np.sqrt(norm2)) + 1e-12)
             reach = (np.stack(b["dists"].to_numpy()) - r[None, :] <= at[:, None]) & seen[None, :]
             reach[np.arange(len(b)), b["region"].to_numpy()] = False
             i, j = np.nonzero(reach)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[i], "vec": b["vec"].to_numpy()[i], "floor": f[i], "region": j})
+            yield pd.DataFrame({"id": b["id"].to_numpy()[i], "floor": b["floor"].array[i], "region": j})
 
-    asked = queries.join(kth, "id", "left").select("id", "vec", "floor", "region", "dists").mapInPandas(others, "id long, vec array<double>, floor double, region long")
-    found = home.unionByName(visit(written(asked, "mtree-asked")))
+    # ids and bounds alone are written; a vector goes only to the trees that its query visits
+    asked = queries.join(kth, "id", "left").select("id", "vec", "floor", "region", "dists").mapInPandas(others, "id long, floor long, region long")
+    asked = written(asked, "mtree-asked").join(queries.select("id", "vec").dropDuplicates(["id"]), "id")
+    found = home.unionByName(visit(asked))
     return best_ids(found, k)
 
 

@@ -143,3 +143,43 @@ def test_extra_columns_do_not_clash(spark):
     rows = spark.createDataFrame(ODD, SCHEMA).withColumn("rep", F.lit(1)).withColumn("score", F.lit(2)).withColumn("list", F.lit(3))
     assert nearest_neighbours(rows, lambda i: i % 50 == 0).count() == 10
     assert top_products(rows, lambda i: i % 50 == 0).count() == 15
+
+
+def test_an_isolated_query_gets_its_neighbours(spark):
+    rng = np.random.default_rng(4)
+    near = [(i, [1.0 + float(rng.normal()) / 1000, float(rng.normal()) / 1000, 0.0]) for i in range(1, 400)]
+    have = got(nearest_neighbours(spark.createDataFrame([(0, [-1.0, 0.1, 2.0]), *near], "id long, vec array<double>"), lambda i: i % 50 == 0))
+    assert {i: len(x) for i, x in have.items()} == {i: 5 for i in range(0, 400, 50)}
+
+
+def test_each_vector_a_list_of_its_own(spark, monkeypatch):
+    from ledgerlight.llm import ann
+
+    monkeypatch.setattr(ann, "LIST_SIZE", 1)
+    monkeypatch.setattr(ann, "PROBES", 2)
+    data = np.eye(40)
+    have = got(ann.nearest_neighbours(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>"), lambda i: i % 20 == 0))
+    assert {i: [j for j, _ in x] for i, x in have.items()} == {0: [1, 2, 3, 4, 5], 20: [0, 1, 2, 3, 4]}
+
+
+def test_recall_with_fewer_probes_than_lists(spark, monkeypatch):
+    from ledgerlight.llm import ann
+
+    monkeypatch.setattr(ann, "LIST_SIZE", 20)
+    ids, vecs = vectors(spark, "/root/testdata/sf0.1")
+    assert len(ids) // 20 > ann.PROBES
+    u = unit(np.array(vecs, dtype=float))
+    have = got(ann.nearest_neighbours(spark.createDataFrame(list(zip(ids, vecs, strict=True)), SCHEMA), lambda i: i % 20 == 0))
+    want = {i: np.argsort(-np.where(np.arange(len(ids)) == p, -9, u @ u[p]))[:5] for p, i in enumerate(ids) if i % 20 == 0}
+    assert sum(len({j for j, _ in have[i]} & {ids[x] for x in w}) for i, w in want.items()) >= 0.9 * 5 * len(want)
+
+
+@pytest.mark.parametrize("size", [1e6, 1e11, 1e30, 1e300])
+def test_long_vectors_are_exact(spark, size):
+    rng = np.random.default_rng(6)
+    vecs = [[float(x) * size for x in rng.normal(size=3)] for _ in range(40)] + [[size, 2 * size, 0.0], [0.5, -0.25, 1.0], [1.0, 0.0, 0.0]]
+    rows = [(i, v) for i, v in enumerate(vecs)]
+    ints = [[math.floor(256 * x) if abs(x) < 1e15 else 256 * int(x) for x in v] for v in vecs]
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    want = brute(range(len(rows)), lambda i: ((j, clip(sum(a * b for a, b in zip(ints[i], ints[j], strict=True)))) for j in range(len(rows))), 10)
+    assert got(top_products(spark.createDataFrame(rows, "id long, vec array<double>"), lambda i: i % 10 == 0)) == want
