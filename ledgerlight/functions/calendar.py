@@ -65,6 +65,25 @@ def half_open(first: date | str, last: date | str) -> tuple[datetime, datetime]:
     return bounds
 
 
+def span_days(start: datetime, end: datetime) -> int:
+    """Days of a half-open range, a part of one as one."""
+    return -((start - end) // timedelta(days=1))
+
+
+def checked_range(bounds: tuple[datetime, datetime], granularity: str, most_buckets: int = 24, most_days: int = 1100) -> tuple[datetime, datetime]:
+    """The range, if it isn't empty and within the ceilings of a request."""
+    if bounds[0] >= bounds[1]:
+        raise ValueError("the range is empty")
+    if span_days(*bounds) > most_days or len(enumerate_buckets(*bounds, granularity)) > most_buckets:
+        raise ValueError("the range is too long")
+    return bounds
+
+
+def is_real_date(text: Column) -> Column:
+    """Whether a text is a day of the calendar, as YYYY-MM-DD."""
+    return F.coalesce(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$")) & text.try_cast("date").isNotNull(), F.lit(False))
+
+
 def fiscal_year_to_date(now: datetime) -> tuple[datetime, datetime]:
     day = (now + OFFSET).date()
     return day_start(date(day.year if day.month >= 4 else day.year - 1, 4, 1)), now + timedelta(milliseconds=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -39,9 +40,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Any character that NFKC may change or join with another; all others stand for themselves.
+UNSTABLE = "[^\\u0000-\\u009F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0400-\\u0482\\u048A-\\u052F\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u3041-\\u3096\\u30A1-\\u30FA\\u4E00-\\u9FFF]"
+
+
 def folded(text: Column) -> Column:
-    """NFKC. ASCII is its own NFKC, so only other texts go through Python."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
+    """NFKC. Python gets the texts that it may change, and nulls for all others."""
+    return F.coalesce(_nfkc(F.when(F.rlike(text, F.lit(UNSTABLE)), text)), text)
 
 
 def visible(text: Column) -> Column:
@@ -57,14 +62,21 @@ def normalised(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Terms in order, without stopwords; text is taken as it is (normalise before where that matters)."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    """Terms in order, without stopwords, of the text as normalised."""
+    return F.filter(F.regexp_extract_all(F.lower(normalised(text)), F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*STOPWORDS))
+
+
+def tokens_of(text: str) -> list[str]:
+    """The same of a text on the driver, a request's say."""
+    return [t for t in re.findall(TERM, re.sub(INVISIBLE, "", unicodedata.normalize("NFKC", text)).lower()) if t not in STOPWORDS]
 
 
 def bigrams(terms: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(terms, i - 1), F.get(terms, i)))
-    return F.when(F.size(terms) < 2, F.array().cast("array<string>")).otherwise(pairs)
+    def pairs(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))
+        return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(each)
+
+    return F.element_at(F.transform(F.array(terms), pairs), 1)  # so that the terms are made once
 
 
 def sentences(text: Column) -> Column:
@@ -73,12 +85,23 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s).between(20, 400))
 
 
+def stripped(text: Column) -> Column:
+    """Without control characters, and without white space at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, "[\\u0000-\\u0008\\u000B\\u000C\\u000E-\\u001F\\u007F]", ""), r"^\s+|\s+$", "")
+
+
+def safe(text: Column, least: int, most: int) -> Column:
+    """The text as normalised and trimmed, null if its length is out of bounds."""
+    clean = F.regexp_replace(normalised(text), r"^\s+|\s+$", "")
+    return F.when(F.length(clean).between(least, most), clean)
+
+
 def search_terms(text: Column) -> Column:
     return F.array_join(F.slice(F.array_distinct(tokens(text)), 1, MOST_SEARCH_TERMS), " ")
 
 
 def dedup_key(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(normalised(text)), r"\s+", " "))
 
 
 def title_case(word: Column) -> Column:

@@ -59,6 +59,7 @@ def query_measures() -> dict[str, Column]:
         "with_citations": count_if((status == "answered") & (F.col("citation_count") > 0)),
         "citations_accepted": F.coalesce(F.sum("citation_count"), F.lit(0)),
         "citations_discarded": F.coalesce(F.sum("discarded"), F.lit(0)),
+        "injection_suspected": count_if(F.col("injection_suspected")),
         "passages_withheld": F.coalesce(F.sum("withheld"), F.lit(0)),
         "avg_generation_ms": mean("generation_ms", 0),
     }

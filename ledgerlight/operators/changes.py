@@ -21,8 +21,20 @@ def kept_on_reprocess(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def overridden(fields: DataFrame, which: Column, value: Column, by: Column) -> DataFrame:
-    """A corrected value; what was first read stays as original_value."""
+def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with rows added; columns that they lack are null."""
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
+def requeued(documents: DataFrame) -> DataFrame:
+    """Documents in work at a restart are queued again."""
+    return documents.withColumn("status", F.when(F.col("status") == "processing", "queued").otherwise(F.col("status")))
+
+
+def overridden(fields: DataFrame, which: Column, value: Column, by: Column, reason: Column | None = None, at: Column | None = None) -> DataFrame:
+    """A corrected value, with its reason and time; what was first read stays as original_value."""
+    none = F.lit(None)
+    fields = fields.withColumns({"override_reason": F.when(which, reason if reason is not None else none.cast("string")), "overridden_at": F.when(which, at if at is not None else none.cast("timestamp_ntz"))})
     return fields.withColumns({
         "original_value": F.when(which, F.coalesce("original_value", "value")).otherwise(F.col("original_value")),
         "value": F.when(which, value).otherwise(F.col("value")), "overridden_by": F.when(which, by).otherwise(F.col("overridden_by")),

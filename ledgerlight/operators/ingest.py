@@ -34,6 +34,7 @@ RULES = [
     ("data-exfil-link", "low", r"(?i)!\[[^\]]*\]\(\s*https?:"),
 ]
 HIDDEN_PER_MILLE = 10
+# The shapes of a labelled line and of a number.
 FIELD_LINE = r"^\s*([A-Za-z][A-Za-z0-9 _/()%-]{1,48}?)\s*[:=]\s*(.{1,200}?)\s*$"
 NUMBER = r"^-?[\d,.]+\s*[A-Za-z%]{0,12}$"
 
@@ -56,6 +57,22 @@ def gated(files: DataFrame) -> DataFrame:
     return rows.withColumn("accepted", F.coalesce(good, F.lit(False))).drop("_mime", "_magic")
 
 
+def manifest(files: DataFrame, month: str) -> DataFrame:
+    """Accepted files (path, mime, content, tenant) with storage_key, checksum, size_bytes, type and status queued."""
+    rows = gated(files).filter("accepted")
+    return rows.withColumns({
+        "storage_key": F.concat_ws("/", F.col("tenant").cast("string"), F.lit(month), "path"), "checksum": F.sha2("content", 256),
+        "size_bytes": F.octet_length("content").cast("long"), "status": F.lit("queued"),
+    })
+
+
+def paged(chunks: DataFrame, lines_of_page: int) -> DataFrame:
+    """chunks (document_id, chunk_index, text) with the page on which each begins, by the lines of the chunks before it."""
+    before = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    lines = F.coalesce(F.sum(F.size(F.split("text", "\n"))).over(before), F.lit(0))
+    return chunks.withColumn("page", (F.floor(lines / lines_of_page) + 1).cast("long"))
+
+
 def chunked(text: Column, most: int = CHUNK) -> Column:
     """Paragraphs joined while a chunk has at most `most` characters; a longer paragraph is a chunk of its own."""
     paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens, tokens_of
+
 
 def filtered(rows: DataFrame, **equal) -> DataFrame:
     """Rows that equal every filter that is given."""
@@ -30,8 +32,36 @@ def offset_page(rows: DataFrame, order: list[Column], page: int, limit: int) ->
     return rows.orderBy(*order).offset((page - 1) * limit).limit(limit).crossJoin(total)  # one row
 
 
-def visible_logs(logs: DataFrame, user: int, grants: Sequence[int] | None) -> DataFrame:
-    """A reader sees rows of granted tenants and own rows; an administrator (None) all."""
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, if the rows, scoped before, hold it."""
+    return rows.filter(F.col(key) == F.lit(value)).limit(1)
+
+
+def visible_templates(rows: DataFrame, grants: Sequence[int] | None) -> DataFrame:
+    """Templates (tenants: an array) of no tenant, or of a granted one."""
+    if grants is None:
+        return rows
+    held = F.array(*[F.lit(g) for g in grants]).cast("array<bigint>")
+    return rows.filter((F.size("tenants") == 0) | F.arrays_overlap("tenants", held))
+
+
+def text_search(rows: DataFrame, key: str, weights: dict[str, int], asked: str) -> DataFrame:
+    """key and score of the rows whose columns hold any of the asked terms: occurrences times the column's weight."""
+    terms = tokens_of(asked)
+    found = lambda name: F.size(F.filter(F.coalesce(tokens(F.col(name)), F.array().cast("array<string>")), lambda t: t.isin(*terms)))
+    score = sum((found(name) * weight for name, weight in weights.items()), F.lit(0)).cast("long")
+    return rows.select(key, score.alias("score")).filter("score > 0")
+
+
+def visible_logs(logs: DataFrame, user: int, grants: Sequence[int] | None, asked_user: int | None = None) -> DataFrame:
+    """A reader sees rows of granted tenants and own rows; an administrator (None) all.
+
+    asked_user: only that user's rows; for a reader, any other than the reader is not found.
+    """
+    if asked_user is not None:
+        if grants is not None and asked_user != user:
+            raise LookupError("no such user")
+        logs = logs.filter(F.col("user_id") == asked_user)
     return logs if grants is None else logs.filter(F.col("tenant").isin(*grants) | (F.col("user_id") == user))
 
 
@@ -43,6 +73,7 @@ def pending_work(documents: DataFrame, queries: DataFrame, limit: int = 5) -> Da
     """What waits for a person: each queue's newest, merged; documents first where the time is equal."""
     d = documents.filter((F.col("requires_review") & (F.col("status") == "validated")) | (F.col("status") == "failed"))
     q = queries.filter((F.col("review_status") == "pending") | F.col("status").isin("failed", "dead_lettered"))
+    # fixed values: the reasons
     d = recent(d, "created_at", "id", limit).select(
         F.lit("document").alias("kind"), "id", "status", F.when(F.col("status") == "failed", "Processing failed — retry available").otherwise("Low-confidence extraction").alias("reason"),
         "tenant", "created_at",

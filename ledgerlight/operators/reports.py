@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import LOW_CONFIDENCE
 
+# The shape of a placeholder, and the mark of one that no field fills.
+UNRESOLVED = "[[unresolved: "
 PLACEHOLDER = r"\{\{\s*([A-Za-z0-9 _/()-]{1,60}?)\s*\}\}"
 
 
@@ -26,7 +28,7 @@ def drafted(templates: DataFrame, fields: DataFrame) -> DataFrame:
     each = pieces.select("report_id", "section", F.posexplode("gaps").alias("at", "gap"), F.col("names")).withColumn("name", F.get("names", F.col("at")))
     known = latest_fields(fields, ["report_id"]).select("report_id", "key", "value", "confidence")
     rows = each.withColumn("key", F.lower("name")).join(known, ["report_id", "key"], "left")
-    filled = F.when(F.col("name").isNull(), "").otherwise(F.coalesce("value", F.concat(F.lit("[[unresolved: "), F.col("name"), F.lit("]]"))))
+    filled = F.when(F.col("name").isNull(), "").otherwise(F.coalesce("value", F.concat(F.lit(UNRESOLVED), F.col("name"), F.lit("]]"))))
     unresolved = (F.col("name").isNotNull() & F.col("value").isNull()).cast("int")
     return rows.groupBy("report_id", "section").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("gap", filled).alias("t")))), lambda x: x["t"]), "").alias("text"),
@@ -34,6 +36,22 @@ def drafted(templates: DataFrame, fields: DataFrame) -> DataFrame:
     )
 
 
+def citations(templates: DataFrame, fields: DataFrame) -> DataFrame:
+    """report_id, section, at, key, field_id: one row for each placeholder that a field fills, repeats kept."""
+    names = templates.select("report_id", "section", F.posexplode(F.regexp_extract_all("body", F.lit(PLACEHOLDER), F.lit(1))).alias("at", "name"))
+    known = latest_fields(fields, ["report_id"]).select("report_id", "key", "field_id")
+    return names.withColumn("key", F.lower("name")).join(known, ["report_id", "key"]).select("report_id", "section", "at", "key", "field_id")
+
+
+def has_unresolved(body: Column) -> Column:
+    return F.contains(body, F.lit(UNRESOLVED))
+
+
+def history(versions: DataFrame) -> DataFrame:
+    """report_id and versions, the newest first."""
+    return versions.groupBy("report_id").agg(F.sort_array(F.collect_list("version"), asc=False).alias("versions"))
+
+
 def latest_version(versions: DataFrame) -> DataFrame:
     order = Window.partitionBy("report_id").orderBy(F.desc("version"))
     return versions.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scope import tenant_in
-from ..functions.text import MOST_SEARCH_TERMS, bigrams, dedup_key, sentences, tokens
+from ..functions.text import MOST_SEARCH_TERMS, bigrams, dedup_key, escaped, sentences, tokens
 
 CANDIDATES, PER_DOCUMENT, TOP, PASSAGES, SENTENCES = 40, 2, 8, 5, 3
 K1, B, PHRASE, DECAY, FIGURE, LEAST = 1.2, 0.75, 0.5, 0.9, 0.25, 0.15
@@ -63,6 +63,15 @@ def top_references(found: DataFrame, blocked: Column, most: int = TOP) -> DataFr
     return rows.withColumn("ref", F.when(F.col("kept"), F.concat(F.lit("S"), (F.col("_before") + 1).cast("string")))).drop("_before")
 
 
+def passages(walked: DataFrame, quote: int = 300) -> DataFrame:
+    """The kept rows of a walk (question_id, text, flags, kept, ref) with a quote and escaped passage, and for each question how many
+    rows the walk withheld and how many kept ones have flags."""
+    whole = Window.partitionBy("question_id")  # TOP kept rows, and at most CANDIDATES in all
+    counts = {"withheld": F.sum(F.when(F.col("kept"), 0).otherwise(1)).over(whole), "retained_flagged": F.sum(F.when(F.col("kept") & (F.size("flags") > 0), 1).otherwise(0)).over(whole)}
+    rows = walked.withColumns(counts).filter("kept")
+    return rows.withColumns({"quote": F.left("text", F.lit(quote)), "passage": escaped(F.col("text"), "n0nce", 1200)})
+
+
 def bm25(questions: DataFrame, passages: DataFrame, most: int = PASSAGES) -> DataFrame:
     """question_id, ref, bm25, place: passages (question_id, ref, text) by BM25 over the question's own passages.
 
@@ -109,6 +118,7 @@ def answers(questions: DataFrame, chosen: DataFrame, most_chars: int = 4000) ->
     )
     body = F.array_join(F.transform("parts", lambda p: F.concat(p["sentence"], F.lit(" {{ref:"), p["ref"], F.lit("}}"))), " ")
     n = F.size(F.array_distinct(F.transform("parts", lambda p: p["ref"])))
+    # fixed values: the texts around an answer
     text = F.concat(F.lit("Based on "), n.cast("string"), F.lit(" source passage(s): "), body)
     none = F.lit("No authorised source in scope supports an answer to this question.")
     return questions.join(parts, "question_id", "left").select(

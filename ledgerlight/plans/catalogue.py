@@ -62,7 +62,7 @@ FIELD_SQL = f"""count(*) AS total_fields, count(overridden_by) AS overridden_fie
 REPORT_SQL = f"count(*) AS published, {count_if('has_unreviewed_figures', 'with_unreviewed_figures')}"
 QUERY_SQL = f"""count(*) AS total, {", ".join(count_if(f"status = '{s}'", s) for s in ("answered", "unsupported", "failed", "dead_lettered"))}, {count_if("is_parliamentary", "parliamentary")},
  {count_if("review_status = 'pending'", "pending_review")}, {count_if("status = 'answered' AND citation_count > 0", "with_citations")}, coalesce(sum(citation_count), 0)::BIGINT AS citations_accepted,
- coalesce(sum(discarded), 0)::BIGINT AS citations_discarded, coalesce(sum(withheld), 0)::BIGINT AS passages_withheld, {r(r("avg(generation_ms)", 6), 0)} AS avg_generation_ms"""
+ coalesce(sum(discarded), 0)::BIGINT AS citations_discarded, coalesce(sum(withheld), 0)::BIGINT AS passages_withheld, {r(r("avg(generation_ms)", 6), 0)} AS avg_generation_ms, {count_if("injection_suspected", "injection_suspected")}"""
 SCOPE_SQL = "(" + ",".join(map(str, SCOPE)) + ")"
 CONTAINED_SQL = f"(list_has_any(scope, {SCOPE}::BIGINT[]) AND list_has_all({SCOPE}::BIGINT[], scope))"
 RANGE_SQL = f"created_at >= TIMESTAMP '{calendar.half_open(FROM, TO)[0]}' AND created_at < TIMESTAMP '{calendar.half_open(FROM, TO)[1]}'"
@@ -512,8 +512,10 @@ CAND_SQL = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question
  JOIN (SELECT chunk_id, document_id, tenant, unnest({c.tokens_sql('text')}) AS term FROM chunks WHERE tenant IN {SCOPE_SQL}) USING (term) GROUP BY ALL)) WHERE rank <= 40"""
 CAP_SQL = f"SELECT question_id, chunk_id, document_id, tenant, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, document_id ORDER BY rank) AS k FROM ({CAND_SQL})) WHERE k <= 2"
 VER_SQL = f"SELECT v.* FROM ({CAP_SQL}) v JOIN parents p ON v.document_id = p.document_id AND v.tenant = p.tenant WHERE p.status = 'validated' AND p.tenant IN {SCOPE_SQL}"
+HIGH, LOW = ([rule_sql(p) for _, s, p in ingest.RULES if s == kind] for kind in ("high", "low"))
+SUSPECT_SQL = f"({' OR '.join(HIGH)} OR {' + '.join(f'({p})::INT' for p in LOW)} >= 2)"
 REFS_SQL = f"""SELECT question_id, chunk_id, rank, kept, CASE WHEN kept THEN 'S' || (b + 1)::VARCHAR END AS ref FROM (SELECT *, coalesce(sum(kept::INT) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
- FROM (SELECT *, chunk_id % 10 <> 3 AS kept FROM ({VER_SQL}))) WHERE b < 8"""
+ FROM (SELECT question_id, chunk_id, rank, NOT {SUSPECT_SQL} AS kept FROM ({VER_SQL}) JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id))) WHERE b < 8"""
 
 
 def found(spark, sf):
@@ -525,8 +527,21 @@ def verified(spark, sf):
 
 
 def references(spark, sf):
-    """Chunks whose id ends in 3 stand for those that the scan withholds; the corpus has no such text."""
-    return retrieval.top_references(verified(spark, sf), F.col("chunk_id") % 10 == 3)
+    """The walk over verified chunks; those that the injection scan of their own text suspects are withheld."""
+    return scanned(spark, sf).drop("text", "flags")
+
+
+def scanned(spark, sf):
+    rows = verified(spark, sf).join(c.chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
+    rows = rows.withColumn("flags", ingest.injection_flags(text.folded(F.col("text"))))
+    return retrieval.top_references(rows, ingest.suspected(F.col("flags")))
+
+
+@register("retrieval_passages", f"""SELECT question_id, ref, text[1:300] AS quote, withheld, retained_flagged FROM (SELECT *, count(*) FILTER (WHERE NOT kept) OVER (PARTITION BY question_id) AS withheld,
+ count(*) FILTER (WHERE kept AND ({" OR ".join(HIGH + LOW)})) OVER (PARTITION BY question_id) AS retained_flagged FROM ({REFS_SQL}) JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id)) WHERE kept""", "chunks", "parents")
+def retrieval_passages(spark, sf):
+    """Candidates, cap, re-check, scan and references in one: quotes, what the walk withheld, and the retained chunks that have flags."""
+    return retrieval.passages(scanned(spark, sf)).select("question_id", "ref", "quote", "withheld", "retained_flagged")
 
 
 @register("retrieval_candidates", CAND_SQL, "chunks")
@@ -559,8 +574,7 @@ def retrieval_pinned_fallback(spark, sf):
 
 
 def passages(spark, sf):
-    kept = references(spark, sf).filter("kept").select("question_id", "chunk_id", "ref", "rank")
-    return kept.join(c.chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
+    return scanned(spark, sf).filter("kept").select("question_id", "chunk_id", "ref", "rank", "text")
 
 
 @register("bm25_passages", f"""WITH RECURSIVE dummy AS (SELECT 1), """ + with_ctes(f"""SELECT question_id, ref, bm25, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, ref) AS place FROM (
