@@ -34,13 +34,34 @@ def processed(docs: DataFrame) -> dict[str, DataFrame]:
     return {"chunks": chunks, "fields": fields, "documents": state, "terms": topics.word_frequencies(sources)}
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _swap(spark: SparkSession, table: str) -> None:
+    """Move the partitions of a complete staging folder into the table. Half done, it is finished by the next call."""
+    staging = f"{table}_staging"
+    fs, at = _path(spark, staging)
+    if fs.exists(_path(spark, f"{staging}/_SUCCESS")[1]):
+        fs.mkdirs(_path(spark, table)[1])
+        for entry in fs.listStatus(at):
+            name = entry.getPath().getName()
+            if name.startswith("bucket="):
+                target = _path(spark, f"{table}/{name}")[1]
+                fs.delete(target, True)
+                fs.rename(entry.getPath(), target)
+    fs.delete(at, True)
+
+
 def replace_in(table: str, new: DataFrame, key: str, sources: DataFrame) -> None:
     """Replace all rows of the given sources in a table that is partitioned by a hash of its key.
 
-    Only the partitions of those sources are written anew. The new rows of these partitions are complete in the
-    session's shared folder before the old ones go.
+    Only the partitions of those sources are written anew: first whole beside the table, then moved into it. A run that
+    dies before the move leaves the table as it was; one that dies during it is finished by the next.
     """
     spark = new.sparkSession
+    _swap(spark, table)
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
     new = new.withColumn("bucket", bucket)
     touched = [r[0] for r in sources.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
@@ -50,12 +71,13 @@ def replace_in(table: str, new: DataFrame, key: str, sources: DataFrame) -> None
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
-    filled = {r[0] for r in new.select("bucket").distinct().collect()}
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-    for empty in set(touched) - filled:  # an overwrite leaves partitions alone for which it has no rows
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={empty}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    new.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}_staging")
+    fs, at = _path(spark, f"{table}_staging")
+    filled = {entry.getPath().getName() for entry in fs.listStatus(at)}
+    for empty in touched:  # a partition of which nothing is left
+        if f"bucket={empty}" not in filled:
+            fs.delete(_path(spark, f"{table}/bucket={empty}")[1], True)
+    _swap(spark, table)
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, process: Callable[[DataFrame], dict[str, DataFrame]] = processed) -> StreamingQuery:

@@ -39,3 +39,33 @@ def test_cache_expires_and_keeps_scopes_apart(spark, tmp_path):
 
     get = lambda scope, at: cached(spark, str(tmp_path), "k", 1, scope, {"a": 1}, make, timedelta(seconds=300), at).agg(F.count(F.lit(1))).first()[0]
     assert [get([1], now), get([1], now + timedelta(seconds=299)), get([1], now + timedelta(seconds=301)), get(None, now), get([], now)] == [1, 1, 2, 3, 4]
+
+
+def test_a_run_that_dies_around_the_move_loses_nothing(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerlight.streaming import pipelines
+
+    table, ids = str(tmp_path / "t"), lambda *i: spark.createDataFrame([(x,) for x in i], "document_id long")
+    have = lambda: sorted((r["document_id"], r["v"]) for r in spark.read.parquet(table).collect())
+    pipelines.replace_in(table, ids(*range(200)).withColumn("v", F.lit(1)), "document_id", ids(*range(200)))
+    swap = pipelines._swap
+    calls = []
+
+    def dies(session, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        swap(session, path)
+
+    monkeypatch.setattr(pipelines, "_swap", dies)
+    new = ids(5, 6).withColumn("v", F.lit(2))
+    try:
+        pipelines.replace_in(table, new, "document_id", ids(5, 6, 7))
+        raise AssertionError("it should have died")
+    except RuntimeError:
+        pass
+    assert have() == [(i, 1) for i in range(200)]
+    monkeypatch.setattr(pipelines, "_swap", swap)
+    pipelines.replace_in(table, new, "document_id", ids(5, 6, 7))
+    assert have() == sorted([(i, 1) for i in range(200) if i not in (5, 6, 7)] + [(5, 2), (6, 2)])
