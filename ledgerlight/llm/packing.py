@@ -157,8 +157,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     the text are read: other columns, whatever their names, play no part.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    same = ["doc_id", F.octet_length("text").alias("size"), text_key(F.col("text")).alias("key")]
-    counts = docs.select(*same).groupBy("doc_id", "size", "key").agg(F.count(F.lit(1)).alias("copies"))
+    counts = docs.groupBy("doc_id", F.octet_length("text").alias("size")).agg(F.count(F.lit(1)).alias("copies"))  # of no fewer rows than are equal
     n, size, most = counts.agg(F.sum("copies"), F.sum(F.col("copies") * F.coalesce("size", F.lit(0))), F.max("copies")).first()
     n = n or 0
     groups = max(1, -(-n // group), -(-(size or 0) // GROUP_BYTES))
@@ -186,7 +185,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
 
     rows = docs.withColumn("copy", F.lit(0).cast("long"))
     if (most or 0) > COPIES:  # one row of each such document, and as many copies of it as there are, each with a number
-        many = counts.filter(F.col("copies") > COPIES).select("doc_id", "key", "copies")
+        many = docs.groupBy("doc_id", text_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > COPIES)
         alike = (F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("r.key") == F.col("m.key"))
         keyed = rows.withColumn("key", text_key(F.col("text"))).alias("r")
         once = keyed.join(many.alias("m"), alike).groupBy("r.doc_id", "r.key").agg(F.first("r.text").alias("text"), F.first("m.copies").alias("copies"))
