@@ -3,7 +3,7 @@
 Groups (here: equal texts) are packed in two levels. Tasks pack the groups of one hash
 partition into bundles of a small fixed capacity, largest group first, each into the open
 bundle with the tightest remaining capacity that still holds it, found in a balanced search
-tree. The bundles, whose number is bounded by a parameter whatever the input, are then packed
+tree. The bundles, about as many as a parameter says and at least one for each task, are then packed
 by the same rule into shards of the smallest capacity for which the wanted number of shards
 is enough (bisection over the capacity).
 
@@ -178,7 +178,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, bundles: int = BUNDLES, i
     to_shard = spark.createDataFrame(
         list(zip([r["bundle"] for r in sums], _least_capacity([r["size"] for r in sums], shards), strict=True)), "bundle long, shard int"
     )
-    placed = packed.join(F.broadcast(to_shard), "bundle").select("key", "part", "shard")
+    placed = packed.join(F.broadcast(to_shard) if len(sums) <= 1_000_000 else to_shard, "bundle").select("key", "part", "shard")
     return numbered(rows.join(placed, ["key", "part"]), n_rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
