@@ -5,9 +5,9 @@ import corpus_pipeline
 from ledgerlight.llm.common import written
 from ledgerlight.llm.mixing import targets
 
-from .test_lines import brute as brute_lines
 from .test_neardup import brute as brute_near
 from .test_packing import ids_of
+from .test_whole_job import brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,7 +44,7 @@ def test_language_keeps_clean_documents(stages):
 
 def test_lines(stages):
     docs, made = stages[1]
-    want = [(i, t) for i, _, gone, t in brute_lines(rows(docs), spare=corpus_pipeline.SPARE) if not gone or t.strip(" ")]
+    want = [(i, t) for i, _, gone, t in brute_lines(rows(docs)) if not gone or t.strip(" \t\n\x0b\x0c\r")]
     assert sorted(rows(made)) == sorted(want)
     assert made.filter((F.col("n_chars") != F.length("text")) & F.col("doc_id").isin([i for i, _, gone, _ in brute_lines(rows(docs)) if gone])).count() == 0
 
