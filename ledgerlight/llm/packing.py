@@ -29,6 +29,9 @@ _PLAIN = re.compile("[\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u01
 #: The bytes of Latin-1 that aren't in it.
 _NOT_PLAIN = bytes(i for i in range(256) if not _PLAIN(chr(i)))
 
+#: From 0 to 31 ids to their bytes.
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -63,7 +66,9 @@ class WordCache:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.words: dict[str, bytes] = {}
-        self.bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bytes_as, self.as_char = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for code in (*range(0x80, 0x800), *range(0x800, 0xD800, 0x800), 0xE000, 0xF000):  # these have every byte of such words; ASCII stays
+            self.as_char.update(zip(chr(code).encode(), bytes_as.pre_tokenize_str(chr(code))[0][0], strict=True))
         normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = (
@@ -78,9 +83,9 @@ class WordCache:
             self.by_word, self.cut = "\\p" not in pattern, re.compile(pattern).findall
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece if piece.isascii() else self.bytes_as.pre_tokenize_str(piece)[0][0]
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.as_char)
         ids = [t.id for t in self.of.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
