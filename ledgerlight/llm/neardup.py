@@ -13,13 +13,14 @@ node is held only against those that no tree has reached, so a group of n near c
 comparisons for each key, and gives n edges, not n squared. The trees of all buckets join to
 families. Within a family, every pair's sets are intersected in full, as products of incidence
 matrices, and again only a spanning forest of the links leaves the task. Large buckets and
-families are dealt to cells of bounded size.
+families are dealt to cells of bounded size, in two rounds: the second holds only against each other what
+the first has left in different components.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -112,16 +113,38 @@ def components(links: DataFrame, what: str) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def _cells(members: DataFrame, group: str, block: int) -> DataFrame:
-    """members with cells (i, j) of their group added: every two members of a group share one.
+def _spanning(members: DataFrame, group: str, block: int, filled: Callable[[DataFrame], DataFrame], within, what: str) -> DataFrame:
+    """Edges (a, b) that connect whatever is linked within a group of members (group, node).
 
-    A group of up to `block` members is one cell. A larger one is dealt at random to blocks, and each two
-    blocks, and each block with itself, are a cell.
+    A group of up to `block` members is one cell. A larger one is dealt at random to blocks, with its least node
+    in each of them, so that a group of near copies comes out as one component of as many edges as nodes. Only where
+    more components are left are blocks held against blocks: those of a component with over `block` nodes against all
+    but its own, and those of all smaller components against each other as well. filled(cells) adds what within needs.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+    large = written(members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter(F.col("n") > block).select(group, "least", F.ceil(F.col("n") / block).alias("blocks")), what + "-large")
+    one = F.lit(0).cast("long")
+    if not large.limit(1).count():
+        removed(large)
+        return _grouped(filled(members.select(group, "node", one.alias("i"), one.alias("j"))), group, within)
+    own = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
+    at = F.when(F.col("node") == F.col("least"), F.sequence(one, F.col("blocks") - 1)).otherwise(F.array(own(F.coalesce("blocks", F.lit(1)))))
+    cells = members.join(large, group, "left").select(group, "node", F.explode(at).alias("i"), one.alias("j"))
+    first = written(_grouped(filled(cells), group, within), what + "-first")
+    held = members.join(large.select(group), group).select(group, "node")
+    joined = components(first.join(held.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), what + "-joined")
+    placed = written(held.join(joined, "node", "left").select(group, "node", F.coalesce("component", "node").alias("label")), what + "-placed")
+    heavy = F.col("n") > block
+    labels = written(placed.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n")).select(group, "label", "n", heavy.alias("heavy"), F.when(heavy, F.col("label")).otherwise(0).alias("kind")), what + "-kinds")
+    kinds = labels.groupBy(group, "heavy", "kind").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    others = kinds.select(group, F.col("heavy").alias("o_heavy"), F.col("kind").alias("o_kind"), F.col("blocks").alias("o_blocks"))
+    apart = ~(F.col("heavy") & F.col("o_heavy") & (F.col("kind") == F.col("o_kind")))
+    pairs = written(kinds.join(others, group).filter(apart), what + "-pairs")
+    spread = placed.join(labels.drop("n"), [group, "label"]).join(pairs, [group, "heavy", "kind"]).withColumn("other", F.explode(F.sequence(one, F.col("o_blocks") - 1)))
+    mine, other = F.xxhash64("heavy", "kind", own(F.col("blocks"))), F.xxhash64("o_heavy", "o_kind", "other")
+    cells = spread.select(group, "node", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
+    second = written(_grouped(filled(cells), group, within), what + "-second")
+    removed(large, placed, labels, pairs)
+    return first.unionByName(second)
 
 
 def _grouped(rows: DataFrame, group: str, within) -> DataFrame:
@@ -218,10 +241,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     each = lambda nodes: nodes.select("node", "sig").mapInPandas(keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     buckets = each(sets).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = written(each(sets).join(buckets, "key"), "near-members")
-    close = _grouped(_cells(members, "key", SIGNATURES).join(sets.select("node", "sig"), "node"), "key", _close(distance))
+    close = _spanning(members, "key", SIGNATURES, lambda cells: cells.join(sets.select("node", "sig"), "node"), _close(distance), "near-close")
     groups = written(components(close, "near-groups"), "near-grouped")
-    texts = docs.join(groups, docs["doc_id"] == groups["node"]).select("node", F.col("component").alias("family"), "text")
-    links = _grouped(_cells(written(texts, "near-texts"), "family", TEXTS), "family", _confirmed(k, share))
+    texts = written(docs.join(groups, docs["doc_id"] == groups["node"]).select("node", "text"), "near-texts")
+    families = groups.select(F.col("component").alias("family"), "node")
+    links = _spanning(families, "family", TEXTS, lambda cells: cells.join(texts, "node"), _confirmed(k, share), "near-confirmed")
     final = components(links, "near-links")
     of_set = sets.join(final, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
     alone = F.when((F.col("n") == 0), F.col("doc_id"))

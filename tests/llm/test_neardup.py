@@ -105,3 +105,27 @@ def test_shingle_sets_match_words():
     for i in range(len(texts)):
         for j in range(len(texts)):
             assert len(hashed[i] & hashed[j]) == len(plain[i] & plain[j])
+
+
+def test_hot_family_of_near_copies_is_not_crossed(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIGNATURES", 20)
+    monkeypatch.setattr(neardup, "TEXTS", 20)
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(900)}" for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    dealt, whole = {"key": [], "family": []}, neardup._grouped
+
+    def counted(cells, group, within):
+        dealt[group].append((cells.count(), cells.select(group).distinct().count()))
+        return whole(cells, group, within)
+
+    monkeypatch.setattr(neardup, "_grouped", counted)
+    assert have(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, similarity=0.8)) == brute(rows, 5, 80)
+    (first, families), (second, _) = dealt["family"]
+    assert families == 1 and first <= 300 + 300 / 20 and second == 0
+    assert sum(n for n, _ in dealt["key"][1:]) == 0
