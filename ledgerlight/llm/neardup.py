@@ -125,13 +125,13 @@ def _spanning(members: DataFrame, group: str, block: int, filled: Callable[[Data
     one = F.lit(0).cast("long")
     if not large.limit(1).count():
         removed(large)
-        return _grouped(filled(members.select(group, "node", one.alias("i"), one.alias("j"))), group, within)
+        return _grouped(filled(members.select(group, "node", one.alias("i"), one.alias("j"))), group, within).drop("j")
     own = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
     at = F.when(F.col("node") == F.col("least"), F.sequence(one, F.col("blocks") - 1)).otherwise(F.array(own(F.coalesce("blocks", F.lit(1)))))
-    cells = members.join(large, group, "left").select(group, "node", F.explode(at).alias("i"), one.alias("j"))
+    cells = members.join(large, group, "left").select(group, "node", F.explode(at).alias("i"), F.col("blocks").isNotNull().cast("long").alias("j"))
     first = written(_grouped(filled(cells), group, within), what + "-first")
     held = members.join(large.select(group), group).select(group, "node")
-    joined = components(first.join(held.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), what + "-joined")
+    joined = components(first.filter("j = 1"), what + "-joined")  # the edges of large groups
     placed = written(held.join(joined, "node", "left").select(group, "node", F.coalesce("component", "node").alias("label")), what + "-placed")
     heavy = F.col("n") > block
     labels = written(placed.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n")).select(group, "label", "n", heavy.alias("heavy"), F.when(heavy, F.col("label")).otherwise(0).alias("kind")), what + "-kinds")
@@ -144,11 +144,11 @@ def _spanning(members: DataFrame, group: str, block: int, filled: Callable[[Data
     cells = spread.select(group, "node", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
     second = written(_grouped(filled(cells), group, within), what + "-second")
     removed(large, placed, labels, pairs)
-    return first.unionByName(second)
+    return first.unionByName(second).drop("j")
 
 
 def _grouped(rows: DataFrame, group: str, within) -> DataFrame:
-    """Edges (a, b) that within(frame) gives for each cell, cells of a partition one after the other."""
+    """Edges (a, b) that within(frame) gives for each cell, with the cell's j; cells of a partition one after the other."""
     keys = [group, "i", "j"]
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,9 +157,9 @@ def _grouped(rows: DataFrame, group: str, within) -> DataFrame:
         def ready(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
             at = g[keys].to_numpy()
             bounds = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-            found = [within(g.iloc[x:y]) for x, y in zip([0, *bounds], [*bounds, len(g)], strict=True) if y - x > 1]
+            found = [(within(g.iloc[x:y]), at[x, 2]) for x, y in zip([0, *bounds], [*bounds, len(g)], strict=True) if y - x > 1]
             if found:
-                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+                yield pd.DataFrame(np.concatenate([e for e, _ in found]), columns=["a", "b"]).assign(j=np.repeat([j for _, j in found], [len(e) for e, _ in found]))
 
         for b in batches:
             rest = b if rest is None else pd.concat([rest, b])
@@ -172,7 +172,7 @@ def _grouped(rows: DataFrame, group: str, within) -> DataFrame:
         if rest is not None and len(rest) > 1:
             yield from ready(rest)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(edges, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(edges, "a long, b long, j long")
 
 
 def _forest(node: np.ndarray, near) -> np.ndarray:
