@@ -4,10 +4,14 @@ Centroids are fitted on a bounded sample by a k-means whose clusters repel point
 so the lists come out balanced. They're few enough (MOST_LISTS) for every task, which searches
 them best-first over a graph of their neighbours. Each vector is posted to its nearest list and
 to the next ones that are nearly as near (boundary vectors: distance at most 1 + SPILL times the
-least, up to COPIES lists). A query reads the lists within 1 + PRUNE times its least distance, PROBES at most however
-many there are, and on beyond that distance until these lists hold enough other vectors for certain. Queries that
+least, up to COPIES lists). A query reads the lists within 1 + PRUNE times the distance of its COPIES-th nearest (its own
+vector lies in the ones before, which may be as small as that vector), one in PROBED of all at most but for
+the first PROBES, and on beyond that distance until these lists hold enough other vectors for certain. Queries that
 still find too few read all lists.
 
+Vectors are compared divided by their largest component: vectors of one direction whatever their lengths then have the very
+same quotients, so that their scores are equal to the last bit and ties go by id.
+
 Lists and the queries that read them meet in cells of bounded size: a list with many vectors or
 many queries is dealt over several cells by hashes of their ids.
 """
@@ -31,20 +35,19 @@ SAMPLE = 20_000
 LIST_SIZE, MOST_LISTS = 200, 4096
 COPIES, SPILL = 4, 0.3
 PRUNE = 0.5
-#: Lists that a query reads at most.
-PROBES = 64
+#: Lists that a query reads at most: PROBES, or one in PROBED where that's more.
+PROBES, PROBED = 48, 8
 CELL_VECTORS, CELL_QUERIES = 4096, 1024
 DEGREE, LONG_LINKS = 20, 6
 
 
-def exact_scale(rows: np.ndarray) -> np.ndarray:
-    """Rows divided by a power of two each, so that squares neither overflow nor vanish."""
-    _, e = np.frexp(np.abs(rows).max(axis=1, initial=0.0))
-    return np.ldexp(rows, -e[:, None])
+def directions(rows: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component each: squares neither overflow nor vanish, and parallel rows become equal."""
+    return rows / np.abs(rows).max(axis=1, keepdims=True)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    rows = exact_scale(rows)
+    rows = directions(rows)
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -113,8 +116,8 @@ class CentroidGraph:
         return np.array([-c for _, c in best]), np.array([s for s, _ in best])
 
 
-def _select(graph: CentroidGraph, vecs: np.ndarray, width: int, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0) -> list[list[int]]:
-    """For each unit vector the lists within `ratio` times its least distance, at most `most`.
+def _select(graph: CentroidGraph, vecs: np.ndarray, width: int, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0, base: int = 1) -> list[list[int]]:
+    """For each unit vector the lists within `ratio` times the distance of its base-th nearest, at most `most`.
 
     With the sizes of the lists, those that follow are taken too until all together have `need` vectors.
     """
@@ -122,7 +125,7 @@ def _select(graph: CentroidGraph, vecs: np.ndarray, width: int, ratio: float, mo
     for v in vecs:
         lists, sims = graph.nearest(v, width)
         dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
-        taken = dist <= ratio * dist[0] + 1e-12
+        taken = dist <= ratio * dist[min(base, len(dist)) - 1] + 1e-12
         if sizes is not None:
             taken |= np.cumsum(sizes[lists]) - sizes[lists] < need
         out.append(lists[taken][:most].tolist())
@@ -148,13 +151,13 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     sample = unit(matrix(bounded_sample(reps, SAMPLE)["vec"], width))
     lists = int(min(MOST_LISTS, len(sample), max(1, n // LIST_SIZE)))
     shared = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(sample, lists)))
-    probes = min(lists, PROBES)
+    probes = min(lists, max(PROBES, lists // PROBED))
 
-    def choose(width_: int, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0):
+    def choose(width_: int, ratio: float, most: int, sizes: np.ndarray | None = None, need: int = 0, base: int = 1):
         def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    yield b.assign(lists=_select(shared.value, unit(matrix(b["vec"], width)), width_, ratio, most, sizes, need))
+                    yield b.assign(lists=_select(shared.value, unit(matrix(b["vec"], width)), width_, ratio, most, sizes, need, base))
 
         return chosen
 
@@ -164,7 +167,7 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each list
         sizes[r["list"]] = r["n"]
     asked = rows.filter(is_query(F.col("id"))).select("id", "vec")
-    queries = asked.mapInPandas(choose(probes, 1 + PRUNE, probes, sizes, COPIES * (k + 1)), "id long, vec array<double>, lists array<long>")
+    queries = asked.mapInPandas(choose(probes, 1 + PRUNE, probes, sizes, COPIES * (k + 1), COPIES), "id long, vec array<double>, lists array<long>")
     queries = written(queries.withColumn("list", F.explode("lists")).drop("lists"), "ann-queries")
     found = written(_scanned(postings, queries, width, k), "ann-found")
     best = best_ids(found, k)
@@ -191,14 +194,21 @@ def _scanned(postings: DataFrame, queries: DataFrame, width: int, k: int) -> Dat
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         if not len(post) or not len(query):
             return none
-        p, q = exact_scale(matrix(post["vec"], width)), exact_scale(matrix(query["vec"], width))
+        p, q = directions(matrix(post["vec"], width)), directions(matrix(query["vec"], width))
         pn, qn = np.sqrt((p * p).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         sims = (q / qn[:, None]) @ (p / pn[:, None]).T
-        keep = min(k + 4, len(p))
-        top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-        i, j = np.repeat(np.arange(len(q)), keep), top.ravel()
-        score = (q[i] * p[j]).sum(axis=1) / (qn[i] * pn[j])  # the same sum for a pair, whatever the block
-        return pd.DataFrame({"query_id": query["id"].to_numpy()[i], "rep": post["rep"].to_numpy()[j], "ids": post["ids"].to_numpy()[j], "score": score})
+        keep = min(k + 1, len(p))
+        least = np.partition(sims, len(p) - keep, axis=1)[:, len(p) - keep] - 1e-12
+        reps, asked, found, scores = post["rep"].to_numpy(), [], [], []
+        for i in range(len(q)):
+            near = np.flatnonzero(sims[i] >= least[i])
+            score = (q[i] * p[near]).sum(axis=1) / (qn[i] * pn[near])  # the same sum for a pair, whatever the block
+            first = np.lexsort((reps[near], -score))[:keep]  # of tied vectors those with the least ids: no other can be among the k best
+            asked.append(np.full(len(first), i))
+            found.append(near[first])
+            scores.append(score[first])
+        i, j = np.concatenate(asked), np.concatenate(found)
+        return pd.DataFrame({"query_id": query["id"].to_numpy()[i], "rep": reps[j], "ids": post["ids"].to_numpy()[j], "score": np.concatenate(scores)})
 
     return (
         left.select("list", "sub", "block", "rep", "ids", "vec").groupBy("list", "sub", "block")

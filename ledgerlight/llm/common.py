@@ -76,6 +76,24 @@ def removed(*tables: DataFrame) -> None:
             _remove(df.sparkSession, df.written_to)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that docs has none of: underscores are added until that's so."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shielded(docs: DataFrame, *added: str) -> tuple[DataFrame, list[Column]]:
+    """docs with other names for the columns that are named like `added` ones, and the columns that give them back theirs."""
+    clash = [c for c in docs.columns if c.lower() in {a.lower() for a in added}]
+    names = dict(zip(clash, fresh(docs, *[f"{c}_" for c in clash]), strict=True))
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

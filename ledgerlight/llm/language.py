@@ -15,6 +15,7 @@ low hash of their id), so the model is of bounded size; all n-grams of the sampl
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 #: Labelled documents of each language that the model is fitted on, about; n-grams that a task counts before it passes them on.
 SAMPLE_DOCS, FLUSH = 2000, 200_000
@@ -53,9 +54,13 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
 }
 _NAMES = [*SCRIPTS, "other"]
-_WORD = re.compile(r"[^\W\d_]+")
+
+#: Word characters of regular expressions that are neither letters nor decimal digits: fractions, circled numbers and so on.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTER = rf"[^\W\d_{_NUMERALS}]"
+_WORD = re.compile(f"{_LETTER}+")
 #: What makes some word of a text more than one: letters beyond Latin, or a run that is too long.
-_ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|[^\W\d_]{{{LONGEST + 1}}}").search
+_ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|{_LETTER}{{{LONGEST + 1}}}").search
 
 
 @lru_cache(4096)
@@ -231,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", switc
     """docs with `lang_pred`, `score` and `spans` (lang, words, letters of each run) added.
 
     score: the share of the text's letters whose words are labelled lang_pred. Null texts and texts
-    without a letter, and all texts where there is no model, are `und` with score 0 and no spans. Equal
+    without a letter (numerals are none), and all texts where there is no model, are `und` with score 0 and no spans. Equal
     shares: the first language by name. Columns of docs with the names of the added ones are replaced.
     """
     docs = docs.drop("lang_pred", "score", "spans")
@@ -262,7 +267,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", switc
         if m:
             m.forget()  # an idle worker holds no words
 
-    return docs.withColumn("_label", label(F.col(text_col))).select(*docs.columns, "_label.lang_pred", "_label.score", "_label.spans")
+    (made,) = fresh(docs, "_label")
+    return docs.withColumn(made, label(F.col(text_col))).select(*docs.columns, f"{made}.lang_pred", f"{made}.score", f"{made}.spans")
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, table, text_key, written
+from .common import fresh, removed, table, text_key, written
 
 LEAD, MAJORITY, LIKENESS, MIN_DOCS = 3, 0.5, 0.6, 5
 #: Characters outside of fields from which a template is long, and the texts that make such a one recur.
@@ -148,10 +148,11 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, spare: float | Non
         return pd.DataFrame({"text": out, "n_lines": counts, "n_dropped": dropped})
 
     without = without.asNondeterministic()  # a filter on its result doesn't make it run twice
-    rows = docs.withColumns({"_key": text_key(F.col(text_col)), "_id": F.col(id_col).cast("long")}).alias("r")
-    joined = rows.join(gone.alias("g"), (F.col("r._key") == F.col("g.key")) & F.col("r._id").eqNullSafe(F.col("g.doc_id")), "left")
-    new = joined.select("r.*", without(F.col(f"r.{text_col}"), F.col("g.gone")).alias("_new"))
-    return new.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_new.n_lines", "_new.n_dropped")
+    key, number, made = fresh(docs, "_key", "_id", "_new")
+    rows = docs.withColumns({key: text_key(F.col(text_col)), number: F.col(id_col).cast("long")}).alias("r")
+    joined = rows.join(gone.alias("g"), (F.col(f"r.{key}") == F.col("g.key")) & F.col(f"r.{number}").eqNullSafe(F.col("g.doc_id")), "left")
+    new = joined.select("r.*", without(F.col(f"r.{text_col}"), F.col("g.gone")).alias(made))
+    return new.select(*[F.col(f"{made}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], f"{made}.n_lines", f"{made}.n_dropped")
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

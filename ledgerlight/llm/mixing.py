@@ -122,7 +122,8 @@ def mix(docs: DataFrame, most: int = 3, id_col: str = "doc_id", source_col: str
     """
     words = n_words(F.col(text_col)) if size is None else size
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    rows = docs.select(*names, words.cast("long").alias("_size"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")).alias("_src"), F.xxhash64(id_col).alias("_order"))
+    # the row goes along as one column, so that none of its names meets one of ours
+    rows = docs.select(F.struct(*names).alias("row"), words.cast("long").alias("_size"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")).alias("_src"), F.xxhash64(id_col).alias("_order"), F.col(id_col).alias("_id"))
     slim = written(rows.select("_src", "_size", "_order"), "mix-sizes")
     every = written(slim.groupBy(F.col("_src").alias("src"), F.col("_size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     sizes = every.filter("size > 0")
@@ -141,16 +142,17 @@ def mix(docs: DataFrame, most: int = 3, id_col: str = "doc_id", source_col: str
     share = lambda n: F.floor(F.col("w.copies") * n / F.col("w.n"))
     copies = written(shared.select("c._src", "c._size", "c._cell", "c.n", (share(F.col("c.upto")) - share(F.col("c.upto") - F.col("c.n"))).alias("copies")), "mix-copies")
     dealt = rows.join(spread, ["_src", "_size"]).select("*", cell).drop("_spread")
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_src", "_size", "_cell").orderBy("_order", id_col)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_src", "_size", "_cell").orderBy("_order", "_id")))
     mine = copies.withColumnsRenamed({"n": "_n", "copies": "_copies"})
     taken = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_rank") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
     out = ranked.join(mine, ["_src", "_size", "_cell"], "left").join(by_source.select(F.col("src").alias("_src"), F.col("size").alias("_whole"), F.col("target").alias("_target")), "_src")
-    return out.select(*names, F.col("_size").alias("size"), F.col("_whole").alias("source_size"), F.col("_target").alias("target"), F.coalesce(taken, F.lit(0)).cast("int").alias("copies"))
+    return out.select("row.*", F.col("_size").alias("size"), F.col("_whole").alias("source_size"), F.col("_target").alias("target"), F.coalesce(taken, F.lit(0)).cast("int").alias("copies"))
 
 
 def copied(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it's taken, without the added columns."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "size", "source_size", "target", "copies")
+    kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
+    return mixed.filter("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*kept)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import fresh, table, text_key, written
 
 REVEAL, REMOVE, SUPPORT = 0.8, 0.98, 3
 #: The least letters of a term.
@@ -179,11 +179,12 @@ def sanitise(docs: DataFrame, reveal: float = REVEAL, remove: float = REMOVE, su
     An empty table gives no rows. A column `spans` of docs is replaced.
     """
     docs = docs.drop("spans")
-    rows = docs.withColumn("_key", text_key(F.col(text_col)))
+    own_key, mark_id, mark_key, own_base, own_added = fresh(docs, "_key", "_id", "_k", "_base", "_added")
+    rows = docs.withColumn(own_key, text_key(F.col(text_col)))
     spans = base_spans(F.coalesce(F.col(text_col), F.lit("")))
-    slim = written(rows.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), spans.alias("spans")), "pii-base")
+    slim = written(rows.select(F.col(id_col).alias("id"), F.col(own_key).alias("key"), spans.alias("spans")), "pii-base")
     base = slim.filter(F.size("spans") > 0)
-    found = rows.alias("r").join(base.dropDuplicates(["id", "key"]).alias("b"), (F.col("r._key") == F.col("b.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("b.id"))).select(
+    found = rows.alias("r").join(base.dropDuplicates(["id", "key"]).alias("b"), (F.col(f"r.{own_key}") == F.col("b.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("b.id"))).select(
         "b.id", "b.key", entities_of(F.col("b.spans")).alias("entities"), terms_of(F.col(f"r.{text_col}")).alias("terms")
     )
     found = written(found, "pii-terms")
@@ -196,13 +197,13 @@ def sanitise(docs: DataFrame, reveal: float = REVEAL, remove: float = REMOVE, su
     )
     base = base.groupBy("id", "key").agg(F.first("spans").alias("spans"))
     marks = base.alias("b").join(added.alias("a"), (F.col("b.key") == F.col("a.key")) & F.col("b.id").eqNullSafe(F.col("a.id")), "left").select(
-        F.col("b.id").alias("_id"), F.col("b.key").alias("_k"), F.col("b.spans").alias("_base"), F.col("a.added").alias("_added")
+        F.col("b.id").alias(mark_id), F.col("b.key").alias(mark_key), F.col("b.spans").alias(own_base), F.col("a.added").alias(own_added)
     )
     none = F.array().cast("array<struct<kind: string, start: int, end: int, action: string>>")
-    plain = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("generalise").alias("action")))
-    new = F.when(F.col("_added").isNotNull(), term_spans(F.col(text_col), F.col("_added"))).otherwise(none)
-    return rows.join(marks, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
-        *docs.columns, F.when(F.col("_base").isNull(), none).otherwise(F.concat(plain, new)).alias("spans")
+    plain = F.transform(own_base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("generalise").alias("action")))
+    new = F.when(F.col(own_added).isNotNull(), term_spans(F.col(text_col), F.col(own_added))).otherwise(none)
+    return rows.join(marks, (F.col(own_key) == F.col(mark_key)) & F.col(id_col).eqNullSafe(F.col(mark_id)), "left").select(
+        *docs.columns, F.when(F.col(own_base).isNull(), none).otherwise(F.concat(plain, new)).alias("spans")
     )
 
 

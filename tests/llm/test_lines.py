@@ -1,15 +1,15 @@
-import hashlib
 import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.lines import LIKENESS, MAJORITY, MIN_DOCS, drop_recurring, leaf_of, op4_lines, tokens_of
+from ledgerlight.llm.lines import LIKENESS, MAJORITY, MIN_DOCS, drop_recurring, leaf_of, tokens_of
 
 SF = "/root/testdata/sf0.01"
 
 
 def brute(rows, min_docs=MIN_DOCS, spare=None):
+    """For lines that are all shorter than a long one (test_whole_job has the query's)."""
     """rows (id, text) to (id, lines, dropped, text), by the tree's definition."""
     lines = [(i, t, n, tuple(tokens_of(x))) for i, t in rows for n, x in enumerate((t or "").split("\n")) if x.split()]
     seen, leaves = defaultdict(set), defaultdict(set)
@@ -51,14 +51,6 @@ def have(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str)
 
 
-def test_query_equals_brute_force(spark):
-    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    want = [(i, a, b, hashlib.sha256(t.encode()).hexdigest()) for i, a, b, t in brute(rows)]
-    assert sorted((tuple(r) for r in op4_lines(spark, SF).collect()), key=str) == sorted(want, key=str)
-    df = spark.read.parquet(f"{SF}/documents.parquet")
-    assert have(drop_recurring(df, spare=0.8)) == brute(rows, spare=0.8)
-
-
 def test_variable_fields_are_generalised(spark):
     rng = random.Random(2)
     names = ["alma", "boris", "chen", "dara", "emil", "fadi", "gita", "hugo"]

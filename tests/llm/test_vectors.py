@@ -157,21 +157,51 @@ def test_each_vector_a_list_of_its_own(spark, monkeypatch):
 
     monkeypatch.setattr(ann, "LIST_SIZE", 1)
     monkeypatch.setattr(ann, "PROBES", 2)
+    monkeypatch.setattr(ann, "PROBED", 40)
     data = np.eye(40)
     have = got(ann.nearest_neighbours(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>"), lambda i: i % 20 == 0))
     assert {i: [j for j, _ in x] for i, x in have.items()} == {0: [1, 2, 3, 4, 5], 20: [0, 1, 2, 3, 4]}
 
 
-def test_recall_with_fewer_probes_than_lists(spark, monkeypatch):
+@pytest.mark.parametrize(("size", "share"), [(20, 0.9), (4, 0.35)])
+def test_recall_with_fewer_probes_than_lists(spark, monkeypatch, size, share):
+    """sf0.1 in 100 and 500 lists: no more than `share` of the vectors is read for a query, copies counted once."""
     from ledgerlight.llm import ann
 
-    monkeypatch.setattr(ann, "LIST_SIZE", 20)
+    monkeypatch.setattr(ann, "LIST_SIZE", size)
     ids, vecs = vectors(spark, "/root/testdata/sf0.1")
-    assert len(ids) // 20 > ann.PROBES
+    lists = len(ids) // size
+    assert lists > ann.PROBES
+    read = []
+    scanned = ann._scanned
+
+    def counted(postings, queries, width, k):
+        pairs = queries.select("id", "list").join(postings.select("list", "rep"), "list").groupBy("id").agg(F.count_distinct("rep").alias("n"))
+        read.append(pairs.agg(F.avg("n")).first()[0])
+        return scanned(postings, queries, width, k)
+
+    monkeypatch.setattr(ann, "_scanned", counted)
     u = unit(np.array(vecs, dtype=float))
     have = got(ann.nearest_neighbours(spark.createDataFrame(list(zip(ids, vecs, strict=True)), SCHEMA), lambda i: i % 20 == 0))
     want = {i: np.argsort(-np.where(np.arange(len(ids)) == p, -9, u @ u[p]))[:5] for p, i in enumerate(ids) if i % 20 == 0}
     assert sum(len({j for j, _ in have[i]} & {ids[x] for x in w}) for i, w in want.items()) >= 0.9 * 5 * len(want)
+    assert len(read) == 1 and read[0] <= share * len(ids)
+
+
+@pytest.mark.parametrize("factors", [[2.0**i for i in range(-9, 9)], [float(i) for i in range(1, 24)], [0.1 * i for i in range(1, 40)]])
+def test_parallel_vectors_are_ties(spark, monkeypatch, factors):
+    from ledgerlight.llm import ann
+
+    monkeypatch.setattr(ann, "CELL_VECTORS", 7)
+    way, rng = [3.0, -1.0, 7.0, 11.0, 0.0], np.random.default_rng(6)
+    rows = [(i, [f * x for x in way]) for i, f in enumerate(factors)] + [(1000 + i, rng.normal(size=5).tolist()) for i in range(30)]
+    order = rng.permutation(len(rows))
+    have = got(ann.nearest_neighbours(spark.createDataFrame([rows[i] for i in order], SCHEMA), lambda i: (i % 5 == 0) & (i < 1000)))
+    for q, found in have.items():
+        exact = factors[0] != 0.1
+        others = [i for i in range(len(factors)) if i != q][:5]
+        assert [j for j, _ in found] == others or not exact
+        assert all(abs(s - 1) < 1e-12 for _, s in found)
 
 
 @pytest.mark.parametrize("size", [1e6, 1e11, 1e30, 1e300])
