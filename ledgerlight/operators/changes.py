@@ -32,10 +32,18 @@ def requeued(documents: DataFrame) -> DataFrame:
 
 
 def overridden(fields: DataFrame, which: Column, value: Column, by: Column, reason: Column | None = None, at: Column | None = None) -> DataFrame:
-    """A corrected value, with its reason and time; what was first read stays as original_value."""
-    none = F.lit(None)
-    fields = fields.withColumns({"override_reason": F.when(which, reason if reason is not None else none.cast("string")), "overridden_at": F.when(which, at if at is not None else none.cast("timestamp_ntz"))})
+    """A corrected value, with its reason and time; what was first read stays as original_value, and other rows as they are.
+
+    override_reason and overridden_at are added where they're given and not there yet. A correction without a reason has none, whatever
+    reason an earlier one had.
+    """
+
+    def set_where(name: str, new: Column | None, kind: str) -> dict[str, Column]:
+        held = F.col(name) if name in fields.columns else F.lit(None).cast(kind)
+        return {name: F.when(which, F.lit(None) if new is None else new).otherwise(held)} if new is not None or name in fields.columns else {}
+
     return fields.withColumns({
+        **set_where("override_reason", reason, "string"), **set_where("overridden_at", at, "timestamp_ntz"),
         "original_value": F.when(which, F.coalesce("original_value", "value")).otherwise(F.col("original_value")),
         "value": F.when(which, value).otherwise(F.col("value")), "overridden_by": F.when(which, by).otherwise(F.col("overridden_by")),
     })

@@ -111,21 +111,51 @@ def answer_sentences(questions: DataFrame, passages: DataFrame, most: int = SENT
     return kept.withColumn("_same", F.row_number().over(same)).filter("_same = 1").drop("_same", "_rank", "terms")
 
 
+# The texts around an answer.
+BASED, SOURCES = "Based on ", " source passage(s): "
+NOTHING = "No authorised source in scope supports an answer to this question."
+DRAFT_HEAD = "Draft response, assembled verbatim from authorised source material:"
+DRAFT_FOOT = "Sources are cited separately. This draft requires human review and approval before use in an official response."
+
+
 def answers(questions: DataFrame, chosen: DataFrame, most_chars: int = 4000) -> DataFrame:
-    """question_id, answer, unsupported: the chosen sentences in the passages' order, with their references."""
+    """question_id, answer, unsupported, refs: the chosen sentences in the passages' order, with their references.
+
+    questions: question_id and, where there are such, is_parliamentary: those answers are a numbered draft for review.
+    """
     parts = chosen.groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("passage_order", "sentence_index", "sentence", "ref"))).alias("parts")  # SENTENCES at most
     )
-    body = F.array_join(F.transform("parts", lambda p: F.concat(p["sentence"], F.lit(" {{ref:"), p["ref"], F.lit("}}"))), " ")
-    n = F.size(F.array_distinct(F.transform("parts", lambda p: p["ref"])))
-    # fixed values: the texts around an answer
-    text = F.concat(F.lit("Based on "), n.cast("string"), F.lit(" source passage(s): "), body)
-    none = F.lit("No authorised source in scope supports an answer to this question.")
+    cited = lambda p: F.concat(p["sentence"], F.lit(" {{ref:"), p["ref"], F.lit("}}"))
+    refs = F.array_distinct(F.transform("parts", lambda p: p["ref"]))
+    standard = F.concat(F.lit(BASED), F.size(refs).cast("string"), F.lit(SOURCES), F.array_join(F.transform("parts", cited), " "))
+    numbered = F.array_join(F.transform("parts", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), cited(p))), "\n")
+    draft = F.concat(F.lit(f"{DRAFT_HEAD}\n\n"), numbered, F.lit(f"\n\n{DRAFT_FOOT}"))
+    text = F.when(F.col("is_parliamentary"), draft).otherwise(standard) if "is_parliamentary" in questions.columns else standard
+    none = F.col("parts").isNull()
     return questions.join(parts, "question_id", "left").select(
-        "question_id", F.when(F.col("parts").isNull(), none).otherwise(F.left(text, F.lit(most_chars))).alias("answer"), F.col("parts").isNull().alias("unsupported")
+        "question_id", F.when(none, NOTHING).otherwise(F.left(text, F.lit(most_chars))).alias("answer"), none.alias("unsupported"), F.coalesce(refs, F.array().cast("array<string>")).alias("refs")
     )
 
 
+def answer_segments(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """answers (question_id, answer with [n] markers) to question_id, place, text, ordinal, chunk_id: pieces of text and of citations, in order.
+
+    citations: question_id, ordinal, chunk_id. A marker whose ordinal has no citation stays as text of its own; empty pieces are left out.
+    """
+    words = F.split("answer", r"(?<=\[\d{1,9}\])|(?=\[\d{1,9}\])")
+    pieces = answers.select("question_id", F.posexplode(F.filter(words, lambda x: x != "")).alias("place", "text"))
+    pieces = pieces.withColumn("ordinal", F.when(F.rlike("text", F.lit(r"^\[\d{1,9}\]$")), F.regexp_extract("text", r"\d+", 0).cast("long")))
+    return pieces.join(citations.select("question_id", "ordinal", "chunk_id"), ["question_id", "ordinal"], "left").select(
+        "question_id", F.col("place").cast("long").alias("place"), "text", F.when(F.col("chunk_id").isNotNull(), F.col("ordinal")).alias("ordinal"), "chunk_id"
+    )
+
+
+def readable_citations(citations: DataFrame, scope: Sequence[int] | None) -> DataFrame:
+    """Stored citations (query_id, tenant and more) as this reader may see them now, whoever asked: those of other tenants are left out."""
+    return citations.filter(tenant_in(F.col("tenant"), scope))
+
+
 def validated_citations(claims: DataFrame, issued: DataFrame, scope: Sequence[int] | None = None, most: int = MOST_CITATIONS) -> DataFrame:
     """claims (question_id, ref, place) against issued (question_id, ref, chunk_id, tenant).
 

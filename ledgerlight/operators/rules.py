@@ -27,5 +27,20 @@ def asked(queries: DataFrame) -> DataFrame:
     })
 
 
-def reviewable(status: Column, review_status: Column) -> Column:
-    return status.isin("answered", "unsupported") & (review_status == "pending")
+def review_refusal(status: Column, wanted: Column, is_admin: Column) -> Column:
+    """Why a review is refused, null where it isn't: approving is for administrators, and a review (a wanted review status) for queries with an answer.
+
+    Changes that set no review status (wanted is null) are never refused for these reasons.
+    """
+    forbidden = (wanted == "approved") & ~is_admin
+    return F.when(forbidden, "forbidden").when(wanted.isNotNull() & ~status.isin("answered", "unsupported"), "invalid_request")
+
+
+def reviewed(queries: DataFrame, wanted: Column, by: Column, at: Column, is_admin: Column) -> DataFrame:
+    """Queries (status, review_status, reviewed_by, reviewed_at) after a review; where it's refused, as they were, with `refusal`."""
+    goes = F.col("refusal").isNull() & F.col("_wanted").isNotNull()
+    rows = queries.withColumns({"_wanted": wanted, "refusal": review_refusal(F.col("status"), wanted, is_admin)})
+    return rows.withColumns({
+        "review_status": F.when(goes, F.col("_wanted")).otherwise(F.col("review_status")), "reviewed_by": F.when(goes, by).otherwise(F.col("reviewed_by")),
+        "reviewed_at": F.when(goes, at).otherwise(F.col("reviewed_at")),
+    }).drop("_wanted")

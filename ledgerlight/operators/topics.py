@@ -12,6 +12,8 @@ from ..functions.text import tokens
 
 MOST_TERMS, SAMPLE = 300, 25
 CLUSTER_TERMS, MOST_CLUSTERS, CLUSTER_SIZE, NEARNESS = 60, 25, 12, 0.35
+#: Changes with the way terms are made or counted.
+VERSION = "terms-1"
 SOURCE = ["source_type", "source_id", "tenant", "source_created_at"]
 
 

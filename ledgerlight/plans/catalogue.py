@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, metrics, text
 from ..functions.scope import contained, tenant_in
-from ..operators import analytics, changes, ingest, listing, reports, retrieval, topics
+from ..operators import analytics, changes, index, ingest, listing, reports, retrieval, topics
 from ..sources import collections as c
 from ..sources.collections import with_ctes
+from ..sources.kept import kept, kept_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -315,7 +316,9 @@ def tokens_per_source_top300(spark, sf):
 
 
 def terms(spark, sf):
-    return topics.word_frequencies(c.term_sources(spark, sf))
+    """The kept facts, by month: made once of both kinds of sources."""
+    make = lambda: topics.word_frequencies(c.term_sources(spark, sf))
+    return kept(spark, "terms", [f"{sf}/documents.parquet", f"{sf}/conversations.parquet"], topics.VERSION, make, "period_month", ["term", "source_type", "source_id"])
 
 
 @register("word_frequencies", "SELECT source_type, tenant, period_month, count(*) AS rows, sum(n)::BIGINT AS n, count(DISTINCT term) AS terms FROM wf GROUP BY 1, 2, 3", "wf")
@@ -374,6 +377,13 @@ def topic_trend(spark, sf):
     return trend(spark, sf).select("term", "bucket", "frequency", "source_count", "total")
 
 
+@register("topic_trend_range", f"""SELECT term, period_month AS bucket, sum(n)::BIGINT AS frequency, count(DISTINCT source_id) AS source_count, any_value(total) AS total FROM (SELECT * FROM wf WHERE period_month BETWEEN '2025-04' AND '2025-09') JOIN (
+ SELECT term, sum(n)::BIGINT AS total FROM wf WHERE period_month BETWEEN '2025-04' AND '2025-09' GROUP BY 1 HAVING count(DISTINCT source_id) >= 2 ORDER BY 2 DESC, 1 LIMIT 20) USING (term) GROUP BY 1, 2""", "wf")
+def topic_trend_range(spark, sf):
+    """The trend of half a fiscal year: only its months' folders are read."""
+    return topics.trend(terms(spark, sf).filter(F.col("period_month").between("2025-04", "2025-09")), "period_month").select("term", "bucket", "frequency", "source_count", "total")
+
+
 TERM_FROM, TERM_TO = "2025-04-01", "2026-09-30"
 TERM_SPINE = f"SELECT strftime(m, '%Y-%m') AS bucket FROM generate_series(TIMESTAMP '{TERM_FROM}', TIMESTAMP '{TERM_TO}', INTERVAL 1 MONTH) AS t(m)"
 FILLED_SQL = f"""SELECT g.term, g.total, g.bucket, coalesce(t.frequency, 0) AS frequency, coalesce(t.source_count, 0) AS source_count FROM (SELECT DISTINCT term, total, s.bucket FROM ({TREND_SQL}) q, ({TERM_SPINE}) s) g
@@ -518,8 +528,13 @@ REFS_SQL = f"""SELECT question_id, chunk_id, rank, kept, CASE WHEN kept THEN 'S'
  FROM (SELECT question_id, chunk_id, rank, NOT {SUSPECT_SQL} AS kept FROM ({VER_SQL}) JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id))) WHERE b < 8"""
 
 
+def index_of(spark, sf):
+    """The folder of the kept index of all chunks."""
+    return kept_folder(spark, "index", [f"{sf}/documents.parquet"], index.VERSION, lambda to: index.write_segment(to, c.chunks(spark, sf)))
+
+
 def found(spark, sf):
-    return retrieval.candidates(c.questions(spark, sf), c.chunks(spark, sf), SCOPE)
+    return index.candidates(spark, index_of(spark, sf), c.questions(spark, sf), SCOPE)
 
 
 def verified(spark, sf):
@@ -603,7 +618,7 @@ def answer_sentences(spark, sf):
 
 @register("answer_text")
 def answer_text(spark, sf):
-    return retrieval.answers(c.questions(spark, sf), chosen(spark, sf))
+    return retrieval.answers(c.questions(spark, sf), chosen(spark, sf)).drop("refs")
 
 
 #: Every question claims S1, S2, S2 again and S99; S2's tenant may be beyond the narrower reader's scope.

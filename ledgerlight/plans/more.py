@@ -316,9 +316,12 @@ def requeued_documents(spark, sf):
     return changes.requeued(c.documents(spark, sf)).select("id", "status")
 
 
-@register("override_fields", f"SELECT document_id, l_linenumber::BIGINT AS line, CASE WHEN l_linenumber = 1 THEN 'corrected' ELSE l_partkey::VARCHAR END AS value, CASE WHEN l_linenumber = 1 THEN l_partkey::VARCHAR END AS original_value, CASE WHEN l_linenumber = 1 THEN 7 ELSE overridden_by END AS overridden_by, CASE WHEN l_linenumber = 1 THEN 'typing error' END AS override_reason FROM fields", "fields")
+@register("override_fields", """SELECT document_id, l_linenumber::BIGINT AS line, CASE WHEN l_linenumber = 1 THEN 'corrected' ELSE l_partkey::VARCHAR END AS value, CASE WHEN l_linenumber = 1 THEN l_partkey::VARCHAR END AS original_value,
+ CASE WHEN l_linenumber = 1 THEN 7 ELSE overridden_by END AS overridden_by, CASE WHEN l_linenumber = 1 THEN 'typing error' WHEN overridden_by IS NOT NULL THEN 'reason of ' || overridden_by::VARCHAR END AS override_reason FROM fields""", "fields")
 def override_fields(spark, sf):
-    rows = c.fields(spark, sf).select("document_id", F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").cast("string").alias("value"), F.lit(None).cast("string").alias("original_value"), F.col("overridden_by").cast("long"))
+    """Corrected fields among others that have reasons of their own, which stay."""
+    by = F.col("overridden_by").cast("long")
+    rows = c.fields(spark, sf).select("document_id", F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").cast("string").alias("value"), F.lit(None).cast("string").alias("original_value"), by, F.concat(F.lit("reason of "), by.cast("string")).alias("override_reason"))
     out = changes.overridden(rows, F.col("line") == 1, F.lit("corrected"), F.lit(7).cast("long"), F.lit("typing error"), F.lit(NOW).cast("timestamp_ntz"))
     return out.drop("overridden_at")
 
@@ -328,11 +331,15 @@ def asked_queries(spark, sf):
     return rules.asked(c.queries(spark, sf).select("id", "scope", "is_parliamentary")).select("id", "tenant", "review_status", "status")
 
 
-@register("review_rules", "SELECT id, status IN ('answered','unsupported') AND review_status = 'pending' AS reviewable, status = 'failed' AND id % 4 < 3 AND (asked_by = 7 OR asked_by % 10 = 0) AS may_retry FROM qs", "qs")
+@register("review_rules", """SELECT id, CASE WHEN wanted = 'approved' AND asked_by % 3 <> 0 THEN 'forbidden' WHEN wanted IS NOT NULL AND status NOT IN ('answered','unsupported') THEN 'invalid_request' END AS refusal,
+ CASE WHEN wanted IS NOT NULL AND status IN ('answered','unsupported') AND NOT (wanted = 'approved' AND asked_by % 3 <> 0) THEN wanted ELSE review_status END AS review_status, may_retry
+ FROM (SELECT *, CASE WHEN id % 5 = 0 THEN 'approved' WHEN id % 5 = 1 THEN 'changes_requested' WHEN id % 5 = 2 THEN 'pending' END AS wanted, status = 'failed' AND id % 4 < 3 AND (asked_by = 7 OR asked_by % 10 = 0) AS may_retry FROM qs)""", "qs")
 def review_rules(spark, sf):
-    """Retries are for the author or an administrator (here: askers whose id ends in 0), while attempts are left."""
+    """Reviews, by an administrator where the asker's id divides by 3; retries are for the author or an administrator (here: askers whose id ends in 0), while attempts are left."""
     mine = (F.col("asked_by") == 7) | (F.col("asked_by") % 10 == 0)
-    return c.queries(spark, sf).select("id", rules.reviewable(F.col("status"), F.col("review_status")).alias("reviewable"), (changes.retryable(F.col("status"), F.col("id") % 4) & mine).alias("may_retry"))
+    wanted = F.when(F.col("id") % 5 == 0, "approved").when(F.col("id") % 5 == 1, "changes_requested").when(F.col("id") % 5 == 2, "pending")
+    rows = c.queries(spark, sf).withColumns({"reviewed_by": F.lit(None).cast("long"), "reviewed_at": F.lit(None).cast("timestamp_ntz"), "may_retry": changes.retryable(F.col("status"), F.col("id") % 4) & mine})
+    return rules.reviewed(rows, wanted, F.lit(7).cast("long"), F.lit(NOW).cast("timestamp_ntz"), F.col("asked_by") % 3 == 0).select("id", "refusal", "review_status", "may_retry")
 
 
 @register("report_transitions", "SELECT id, CASE WHEN status = 'published' THEN 'archived' WHEN status = 'draft' THEN 'archived' ELSE status END AS status, CASE WHEN status = 'draft' THEN 2 ELSE 1 END::BIGINT AS version FROM reps", "reps")

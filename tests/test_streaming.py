@@ -44,12 +44,12 @@ def test_cache_expires_and_keeps_scopes_apart(spark, tmp_path):
 def test_a_run_that_dies_around_the_move_loses_nothing(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
-    from ledgerlight.streaming import pipelines
+    from ledgerlight.streaming import tables as pipelines
 
     table, ids = str(tmp_path / "t"), lambda *i: spark.createDataFrame([(x,) for x in i], "document_id long")
     have = lambda: sorted((r["document_id"], r["v"]) for r in spark.read.parquet(table).collect())
     pipelines.replace_in(table, ids(*range(200)).withColumn("v", F.lit(1)), "document_id", ids(*range(200)))
-    swap = pipelines._swap
+    swap = pipelines.swap
     calls = []
 
     def dies(session, path):
@@ -58,7 +58,7 @@ def test_a_run_that_dies_around_the_move_loses_nothing(spark, tmp_path, monkeypa
             raise RuntimeError("killed")
         swap(session, path)
 
-    monkeypatch.setattr(pipelines, "_swap", dies)
+    monkeypatch.setattr(pipelines, "swap", dies)
     new = ids(5, 6).withColumn("v", F.lit(2))
     try:
         pipelines.replace_in(table, new, "document_id", ids(5, 6, 7))
@@ -66,6 +66,6 @@ def test_a_run_that_dies_around_the_move_loses_nothing(spark, tmp_path, monkeypa
     except RuntimeError:
         pass
     assert have() == [(i, 1) for i in range(200)]
-    monkeypatch.setattr(pipelines, "_swap", swap)
+    monkeypatch.setattr(pipelines, "swap", swap)
     pipelines.replace_in(table, new, "document_id", ids(5, 6, 7))
     assert have() == sorted([(i, 1) for i in range(200) if i not in (5, 6, 7)] + [(5, 2), (6, 2)])
