@@ -55,12 +55,11 @@ SCRIPTS = {
 }
 _NAMES = [*SCRIPTS, "other"]
 
-#: Word characters of regular expressions that are neither letters nor decimal digits: fractions, circled numbers and so on.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTER = rf"[^\W\d_{_NUMERALS}]"
-_WORD = re.compile(f"{_LETTER}+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: What the pattern above takes for letters though it's none: fractions, circled numbers and so on.
+_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
 #: What makes some word of a text more than one: letters beyond Latin, or a run that is too long.
-_ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|{_LETTER}{{{LONGEST + 1}}}").search
+_ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|[^\W\d_]{{{LONGEST + 1}}}").search
 
 
 @lru_cache(4096)
@@ -85,6 +84,8 @@ def parts_of(run: str) -> tuple[str, ...]:
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
+    if not text.isascii():
+        text = _NUMERAL.sub(" ", text)
     runs = _WORD.findall(text)
     return [p for r in runs for p in parts_of(r)] if _ODD(text) else runs
 
