@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import retrieval
 from ..sources import collections as c
-from ..sources.kept import kept_folder
+from ..sources.kept import written
 from ..streaming import answering
 from . import catalogue as k
 from .catalogue import SCOPE, SCOPE_SQL, SUSPECT_SQL, register
@@ -64,7 +64,7 @@ SELECT id AS query_id, CASE WHEN NOT granted THEN 'failed' WHEN broken THEN CASE
 
 
 def done(spark, sf):
-    return answering.processed(spark, asked(spark, sf), users(spark, sf), k.index_of(spark, sf), c.chunks(spark, sf), c.parents(spark, sf), claiming)
+    return answering.processed(spark, asked(spark, sf), users(spark, sf), k.index_of(spark, sf), c.chunks(spark, sf), c.parents(spark, sf), claiming, written)
 
 
 @register("processed_queries", c.with_ctes("SELECT 1", "chunks", "parents").removesuffix("\nSELECT 1") + ",\n" + PROCESSED_SQL)

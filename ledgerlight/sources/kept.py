@@ -7,6 +7,7 @@ then moved there; of two writers one moves, the other drops its own.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
 import uuid
@@ -49,6 +50,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_WORK: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _WORK:
+        try:
+            deleted(spark, path)
+        except Exception:  # the session may be gone at exit
+            pass
+    _WORK.clear()
+
+
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """rows from a table in the shared folder, so that all that follows reads what was made once. It goes when the process ends."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/work-{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex[:12]}"
+    _WORK.append((spark, path))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, paths: Sequence[str], version: str) -> str:
     """A key of the files under the paths; their listing is the driver's, as for every read."""
     parts = [version]

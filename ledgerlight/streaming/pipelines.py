@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.calendar import month_key
 from ..functions.text import folded, visible
@@ -37,7 +38,7 @@ def by_python(extract: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]
     """An extractor of a Python function, called once for each document. What it raises is that document's error: its kind, not its words."""
 
     def extractor(docs: DataFrame) -> DataFrame:
-        schema = docs.schema.add("error", "string")
+        schema = StructType([*docs.schema.fields, StructField("error", StringType())])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
