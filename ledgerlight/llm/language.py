@@ -59,8 +59,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: What the pattern above takes for letters though it's none: fractions, circled numbers and so on. Each goes to a blank.
 _NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
 _NUMERAL_SET = frozenset(map(chr, _NUMERALS))
-#: Characters beyond Latin, and the numerals within it: a text without one has no such numeral.
-_BEYOND = re.compile(r"[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u1e00-\u1eff]|[\xb2\xb3\xb9\xbc-\xbe]").search
+#: Those that stand among Latin letters; any other makes a text _ODD.
+_LATIN_NUMERALS = "\xb2\xb3\xb9\xbc\xbd\xbe"
 #: What makes some word of a text more than one: letters beyond Latin, or a run that is too long.
 _ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|[^\W\d_]{{{LONGEST + 1}}}").search
 
@@ -87,10 +87,11 @@ def parts_of(run: str) -> tuple[str, ...]:
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
-    if _BEYOND(text) and not _NUMERAL_SET.isdisjoint(text):
+    odd = _ODD(text)
+    if (odd or any(c in text for c in _LATIN_NUMERALS)) and not _NUMERAL_SET.isdisjoint(text):
         text = text.translate(_NUMERALS)
     runs = _WORD.findall(text)
-    return [p for r in runs for p in parts_of(r)] if _ODD(text) else runs
+    return [p for r in runs for p in parts_of(r)] if odd else runs
 
 
 def ngrams(word: str) -> list[str]:
