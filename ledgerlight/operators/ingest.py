@@ -66,11 +66,47 @@ def manifest(files: DataFrame, month: str) -> DataFrame:
     })
 
 
-def paged(chunks: DataFrame, lines_of_page: int) -> DataFrame:
-    """chunks (document_id, chunk_index, text) with the page on which each begins, by the lines of the chunks before it."""
+def paged(rows: DataFrame, pages: DataFrame, line: str = "line") -> DataFrame:
+    """rows (document_id and a line number from 0) with the page on which the line stands.
+
+    pages: document_id, page, first_line, of any lengths. A page without a line (the next begins at the same) has no row; a line before the first page, and
+    all lines of a document without pages, have page null. Both are put in order of their lines, and the last page that began
+    goes on: an interval join that shuffles each side once, whatever the number of pages. Columns named like its own survive.
+    """
+    whole = F.struct(*rows.columns)
+    starts = pages.select("document_id", F.col("first_line").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("page").cast("long").alias("page"), F.lit(None).cast(rows.select(whole.alias("row")).schema["row"].dataType).alias("row"))
+    lines = rows.select("document_id", F.col(line).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("page"), whole.alias("row"))
+    order = Window.partitionBy("document_id").orderBy("at", "kind", "page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = starts.unionByName(lines).withColumn("page", F.last("page", ignorenulls=True).over(order))
+    return joined.filter("kind = 1").select("row.*", "page")
+
+
+def first_lines(chunks: DataFrame) -> DataFrame:
+    """chunks (document_id, chunk_index, text) with the line on which each begins: the lines of the chunks before it."""
     before = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    lines = F.coalesce(F.sum(F.size(F.split("text", "\n"))).over(before), F.lit(0))
-    return chunks.withColumn("page", (F.floor(lines / lines_of_page) + 1).cast("long"))
+    return chunks.withColumn("line", F.coalesce(F.sum(F.size(F.split("text", "\r?\n"))).over(before), F.lit(0)).cast("long"))
+
+
+def extractor(name: str, extract, spark) -> None:
+    """Register a Python function of a text to its pieces (section, text) as a table function `name`: one row in, any number out.
+
+    `SELECT d.id, e.* FROM docs d, LATERAL name(d.text) e` runs it where the rows are. What it raises is a row with its kind in `error`; a null text gives none.
+    """
+    from pyspark.sql.functions import udtf
+
+    class Pieces:
+        def eval(self, text: str):
+            if text is None:
+                return
+            try:
+                found = list(extract(text))
+            except Exception as error:
+                yield None, None, None, type(error).__name__
+                return
+            for i, (section, piece) in enumerate(found):
+                yield i, section, piece, None
+
+    spark.udtf.register(name, udtf(Pieces, returnType="piece_index long, section string, piece string, error string"))
 
 
 def chunked(text: Column, most: int = CHUNK) -> Column:

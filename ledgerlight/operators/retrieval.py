@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scope import tenant_in
-from ..functions.text import MOST_SEARCH_TERMS, bigrams, dedup_key, escaped, sentences, tokens
+from ..functions.text import MOST_SEARCH_TERMS, bigrams, dedup_key, escaped, normalised, sentences, tokens
 
 CANDIDATES, PER_DOCUMENT, TOP, PASSAGES, SENTENCES = 40, 2, 8, 5, 3
 K1, B, PHRASE, DECAY, FIGURE, LEAST = 1.2, 0.75, 0.5, 0.9, 0.25, 0.15
@@ -151,6 +151,22 @@ def answer_segments(answers: DataFrame, citations: DataFrame) -> DataFrame:
     )
 
 
+def prompts(questions: DataFrame, passages: DataFrame, nonce: str, fence: str = "GROUNDED_UNTRUSTED_SOURCE") -> DataFrame:
+    """question_id, prompt: the question and its passages (ref, rank, text and, where there are such, page and section), each within a fence of its own.
+
+    Nothing else goes in: no ids of documents, chunks, tenants or users. Texts and sections are escaped, so none can close its fence; a section is one line
+    of 120 characters at most. A question without passages has its fence alone.
+    """
+    attribute = lambda name: F.trim(F.regexp_replace(escaped(F.col(name).cast("string"), nonce, 120, fence), "[\"\n\r]", " "))
+    more = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f' {n}="'), attribute(n), F.lit('"'))).otherwise("") for n in ("page", "section") if n in passages.columns]
+    ref = F.concat(F.lit(' ref="'), F.col("ref"), F.lit('"'))
+    held = F.concat(F.lit(f"<<<{fence} {nonce}"), ref, *more, F.lit(">>>\n"), escaped(F.col("text"), nonce, 1 << 20, fence), F.lit(f"\n<<<END {fence} {nonce}"), ref, F.lit(">>>"))
+    each = passages.select("question_id", F.struct("rank", held.alias("block")).alias("one")).groupBy("question_id").agg(F.array_sort(F.collect_list("one")).alias("all"))  # TOP at most
+    context = F.array_join(F.transform("all", lambda x: x["block"]), "\n\n")
+    asked = F.concat(F.lit(f"<<<QUESTION {nonce}>>>\n"), normalised(F.col("text")), F.lit(f"\n<<<END QUESTION {nonce}>>>\n\n"), F.coalesce(context, F.lit("")))
+    return questions.join(each, "question_id", "left").select("question_id", asked.alias("prompt"))
+
+
 def readable_citations(citations: DataFrame, scope: Sequence[int] | None) -> DataFrame:
     """Stored citations (query_id, tenant and more) as this reader may see them now, whoever asked: those of other tenants are left out."""
     return citations.filter(tenant_in(F.col("tenant"), scope))

@@ -305,10 +305,20 @@ def text_gate_refuses(spark, sf):
     return ingest.gated(files).select("page_id", "accepted")
 
 
-@register("chunk_pages", "SELECT chunk_id, ((row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1) // 3 + 1)::BIGINT AS page FROM chunks", "chunks")
+PAGES_SQL = "SELECT doc_id AS document_id, p AS page, p * (p - 1) // 2 - CASE WHEN p % 3 = 0 THEN p - 1 ELSE 0 END AS first_line FROM documents, range(1, 60) r(p)"
+
+
+def pages_of(spark, sf):
+    """Pages of growing length, each third without a line."""
+    docs = c.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(59).cast("long"))).alias("page"))
+    p = F.col("page")
+    return docs.withColumn("first_line", F.floor(p * (p - 1) / 2) - F.when(p % 3 == 0, p - 1).otherwise(0))
+
+
+@register("chunk_pages", f"SELECT chunk_id, page FROM (SELECT chunk_id, page, row_number() OVER (PARTITION BY chunk_id ORDER BY first_line DESC, page DESC) AS k FROM chunks c JOIN ({PAGES_SQL}) p ON c.document_id = p.document_id AND p.first_line <= c.chunk_index) WHERE k = 1", "chunks")
 def chunk_pages(spark, sf):
-    """Pages of three lines; a chunk's page is that of the lines before it."""
-    return ingest.paged(c.chunks(spark, sf), 3).select("chunk_id", "page")
+    """A chunk's page is that of its line, over given pages of uneven length."""
+    return ingest.paged(c.chunks(spark, sf), pages_of(spark, sf), "chunk_index").select("chunk_id", "page")
 
 
 @register("requeued_documents", "SELECT id, CASE WHEN status = 'processing' THEN 'queued' ELSE status END AS status FROM docs", "docs")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import retrieval
+from ..functions import calendar, metrics
+from ..functions.calendar import month_key
+from ..operators import analytics, cache, ingest, retrieval, rollups
 from ..sources import collections as c
-from ..sources.kept import written
+from ..sources.files import files, texts
+from ..sources.kept import kept_folder, work_folder, written
 from ..streaming import answering
 from . import catalogue as k
-from .catalogue import SCOPE, SCOPE_SQL, SUSPECT_SQL, register
+from .catalogue import DOC_SQL, FIELD_SQL, NOW, SCOPE, SCOPE_SQL, SUSPECT_SQL, quarter, register
 
 # answering
 
@@ -82,3 +86,122 @@ def answer_segments(spark, sf):
     answers = c.questions(spark, sf).select("question_id", F.concat(F.substring(plain, 1, 30), F.lit("[1] and [3][2] then "), F.substring(plain, 31, 30), F.lit("[12]")).alias("answer"))
     cited = c.questions(spark, sf).select("question_id", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("ordinal")).withColumn("chunk_id", F.col("question_id") * 10 + F.col("ordinal"))
     return retrieval.answer_segments(answers, cited)
+
+
+@register("citations_readable", f"SELECT id, len(list_filter(scope, lambda t: t IN {SCOPE_SQL})) AS citations FROM qs WHERE len(list_filter(scope, lambda t: t IN {SCOPE_SQL})) > 0", "qs")
+def citations_readable(spark, sf):
+    """Stored citations, one for each tenant of a query's scope, as a reader of three tenants may see them."""
+    held = c.queries(spark, sf).select("id", F.explode("scope").alias("tenant"))
+    return retrieval.readable_citations(held, SCOPE).groupBy("id").agg(F.count(F.lit(1)).alias("citations"))
+
+
+@register("retrieval_fallback_mixed", f"""WITH RECURSIVE none AS (SELECT 1), """ + c.with_ctes(f"""SELECT question_id, chunk_id, rank FROM ({k.CAND_SQL}) WHERE question_id % 4 <> 0 UNION ALL
+ SELECT question_id, chunk_id, rank FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY document_id, chunk_index) AS rank FROM (SELECT item_id AS question_id, unnest([item_id, item_id + 40]) AS document_id FROM benchmark WHERE item_id % 4 = 0) JOIN chunks USING (document_id)) WHERE rank <= 40""", "chunks").removeprefix("WITH "))
+def retrieval_fallback_mixed(spark, sf):
+    """Questions that find something and questions (each fourth has its words taken away) that get their named documents' first chunks, in one."""
+    asked = c.questions(spark, sf)
+    mixed = asked.withColumn("text", F.when(F.col("question_id") % 4 == 0, "?").otherwise(F.col("text")))
+    pinned = asked.select("question_id", F.explode(F.array(F.col("question_id"), F.col("question_id") + 40)).alias("document_id"))
+    found = written(k.index.candidates(spark, k.index_of(spark, sf), mixed, SCOPE), "mixed")
+    return found.unionByName(retrieval.fallback(mixed, found, pinned, c.chunks(spark, sf))).select("question_id", "chunk_id", "rank")
+
+
+# cached results
+
+
+@register("cached_totals", f"SELECT {DOC_SQL} FROM docs WHERE tenant IN {SCOPE_SQL}", "docs")
+def cached_totals(spark, sf):
+    """Totals through the cache: stored, invalidated by one of their tenants, made again, and found."""
+    at = datetime.fromisoformat(NOW)
+    held = cache.ResultCache(spark, work_folder(spark, "results"))
+    make = lambda: analytics.totals(c.documents(spark, sf).filter(F.col("tenant").isin(*SCOPE)), analytics.document_measures())
+    get = lambda now: held.get("totals", 1, SCOPE, {"of": sf}, make, timedelta(minutes=5), now)
+    get(at)
+    held.invalidate([SCOPE[0]], at + timedelta(seconds=1))
+    get(at + timedelta(seconds=2))
+    return get(at + timedelta(seconds=3))
+
+
+@register("cache_invalidated", f"SELECT id FROM qs WHERE created_at + INTERVAL 30 DAY > TIMESTAMP '{NOW}' AND len(CASE WHEN id % 10 = 0 THEN [] ELSE scope END) > 0 AND NOT list_has_any(scope, [2, 4]::BIGINT[])", "qs")
+def cache_invalidated(spark, sf):
+    """Entries that hold after two tenants' results were dropped: those over all tenants (an empty scope) fall too."""
+    scope = F.when(F.col("id") % 10 == 0, F.array().cast("array<bigint>")).otherwise(F.col("scope"))
+    entries = c.queries(spark, sf).select("id", scope.alias("scope"), (F.col("created_at") + F.expr("INTERVAL '30' DAY")).alias("expires_at"))
+    return cache.surviving(entries, [2, 4], F.lit(NOW).cast("timestamp_ntz")).select("id")
+
+
+# files
+
+
+def files_of(spark, sf):
+    """The benchmark's texts as files, a folder each, made once."""
+    rows = c.read(spark, sf, "benchmark").withColumn("ending", F.when(F.col("item_id") % 4 == 3, "bin").otherwise("txt"))
+    folder = kept_folder(spark, "files", [f"{sf}/benchmark.parquet"], "files-1", lambda to: rows.select("item_id", "text").repartitionByRange("item_id").write.partitionBy("item_id").text(to))
+    return files(spark, folder, "part-*.txt").withColumn("item_id", F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long"))
+
+
+@register("files_ingested", "SELECT item_id, item_id % 4 <> 3 AS accepted, octet_length(encode(text)) + 1 AS size_bytes, sha256(text || chr(10)) AS checksum, CASE WHEN item_id % 4 <> 3 THEN length(text) + 1 END AS chars FROM benchmark")
+def files_ingested(spark, sf):
+    """Files from a folder through the gate (each fourth is declared what it isn't), with checksum and text."""
+    found = files_of(spark, sf).withColumn("mime", F.when(F.col("item_id") % 4 == 3, "image/png").otherwise(F.col("mime")))
+    gated = ingest.gated(found).withColumn("checksum", F.sha2("content", 256))
+    return texts(gated).select("item_id", "accepted", "size_bytes", "checksum", F.when(F.col("accepted"), F.length("text")).cast("long").alias("chars"))
+
+
+def paragraphs(piece: str):
+    return [(f"line {i}", x) for i, x in enumerate(piece.split("\n")) if x.strip()]
+
+
+@register("extracted_pieces", "SELECT doc_id, i - 1 AS line, piece FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(piece, ' ') <> ''")
+def extracted_pieces(spark, sf):
+    """A pluggable extractor as a table function, joined laterally: one text in, its pieces out."""
+    ingest.extractor("lines_of", paragraphs, spark)
+    c.read(spark, sf, "documents").select("doc_id", "text").createOrReplaceTempView("extractor_documents")
+    rows = spark.sql("SELECT d.doc_id, e.section, e.piece FROM extractor_documents d, LATERAL lines_of(d.text) e")
+    return rows.select("doc_id", F.regexp_extract("section", r"\d+", 0).cast("long").alias("line"), "piece")
+
+
+# rollups
+
+
+def corrected(spark, sf):
+    """Sums of fields by month and tenant, and the sets of corrected documents."""
+    over = F.col("overridden_by").isNotNull()
+    sums = {"total_fields": F.lit(1), "overridden_fields": over.cast("long"), "low_confidence": (F.col("confidence") <= metrics.LOW_CONFIDENCE).cast("long")}
+    parts = lambda: rollups.rolled(c.fields(spark, sf), {"month": month_key(F.col("created_at")), "tenant": F.col("tenant")}, sums, F.when(over, F.col("document_id")))
+
+    def write(to: str) -> None:
+        of, sets = parts()
+        of.write.parquet(f"{to}/sums")
+        sets.write.parquet(f"{to}/sets")
+
+    names = ("lineitem", "orders", "customer", "nation")
+    folder = kept_folder(spark, "corrected", [f"{sf}/{n}.parquet" for n in names], rollups.VERSION, write)
+    return spark.read.parquet(f"{folder}/sums"), spark.read.parquet(f"{folder}/sets"), list(sums)
+
+
+def quarter_of(month):
+    return calendar.quarter_key(F.to_timestamp_ntz(F.concat(month, F.lit("-15 00:00:00"))))
+
+
+ROLLED_SQL = "total_fields, overridden_fields, low_confidence, corrected_documents"
+
+
+@register("extraction_rollup_quarter", f"SELECT bucket, {ROLLED_SQL} FROM (SELECT {quarter('created_at')} AS bucket, {FIELD_SQL} FROM fields GROUP BY 1)", "fields")
+def extraction_rollup_quarter(spark, sf):
+    """Quarters from the months' rollup: no field is read, and the distinct count is exact."""
+    of, sets, names = corrected(spark, sf)
+    return rollups.merged(of, sets, {"bucket": quarter_of(F.col("month"))}, names, "corrected_documents")
+
+
+@register("extraction_rollup_tenant", f"SELECT tenant, {ROLLED_SQL} FROM (SELECT tenant, {FIELD_SQL} FROM fields GROUP BY 1)", "fields")
+def extraction_rollup_tenant(spark, sf):
+    of, sets, names = corrected(spark, sf)
+    return rollups.merged(of, sets, {"tenant": F.col("tenant")}, names, "corrected_documents")
+
+
+@register("extraction_rollup_total", f"SELECT {ROLLED_SQL} FROM (SELECT {FIELD_SQL} FROM fields WHERE tenant IN {SCOPE_SQL})", "fields")
+def extraction_rollup_total(spark, sf):
+    of, sets, names = corrected(spark, sf)
+    mine = F.col("tenant").isin(*SCOPE)
+    return rollups.merged(of.filter(mine), sets.filter(mine), {}, names, "corrected_documents")

@@ -63,13 +63,18 @@ def _clear() -> None:
     _WORK.clear()
 
 
-def written(rows: DataFrame, what: str) -> DataFrame:
-    """rows from a table in the shared folder, so that all that follows reads what was made once. It goes when the process ends."""
-    spark = rows.sparkSession
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A folder of one's own in the shared folder. It goes when the process ends."""
     path = f"{shared_folder(spark)}/work-{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex[:12]}"
     _WORK.append((spark, path))
+    return path
+
+
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """rows from a table in such a folder, so that all that follows reads what was made once."""
+    path = work_folder(rows.sparkSession, what)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def fingerprint(spark: SparkSession, paths: Sequence[str], version: str) -> str:
