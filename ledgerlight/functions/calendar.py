@@ -47,6 +47,40 @@ def bucket_label(key: Column) -> Column:
     return F.when(F.rlike(key, F.lit(r"^\d{4}-(0[1-9]|1[0-2])$")), month).when(F.rlike(key, F.lit(r"^FY\d{4}-Q[1-4]$")), quarter).otherwise(key)
 
 
+def day_start_of(day: Column) -> Column:
+    """The UTC instant of a day's local midnight."""
+    return day.cast("date").cast("timestamp_ntz") - F.expr("INTERVAL '330' MINUTE")
+
+
+def bucket_start_of(key: Column) -> Column:
+    """The UTC instant at which a month's or quarter's bucket begins; null for a key of neither shape."""
+    month = F.to_date(F.concat(key, F.lit("-01")))
+    quarter = F.make_date(F.substring(key, 3, 4).cast("int") + F.when(F.right(key, F.lit(1)) == "4", 1).otherwise(0), F.element_at(F.create_map(*[F.lit(x) for x in ("1", 4, "2", 7, "3", 10, "4", 1)]), F.right(key, F.lit(1))), F.lit(1))
+    return day_start_of(F.when(F.rlike(key, F.lit(r"^\d{4}-(0[1-9]|1[0-2])$")), month).when(F.rlike(key, F.lit(r"^FY\d{4}-Q[1-4]$")), quarter))
+
+
+def bucket_end_of(key: Column) -> Column:
+    """The instant at which the next bucket begins."""
+    local = (bucket_start_of(key) + F.expr("INTERVAL '330' MINUTE")).cast("date")
+    return day_start_of(F.add_months(local, F.when(F.startswith(key, F.lit("FY")), 3).otherwise(1)))
+
+
+def previous_key_of(key: Column) -> Column:
+    """The key of the last millisecond before the bucket."""
+    before = bucket_start_of(key) - F.expr("INTERVAL '0.001' SECOND")
+    return F.when(F.startswith(key, F.lit("FY")), quarter_key(before)).otherwise(month_key(before))
+
+
+def partial_of(key: Column, start: Column, end: Column) -> Column:
+    """Whether the half-open range covers only a part of the bucket."""
+    return (bucket_start_of(key) < start) | (bucket_end_of(key) > end)
+
+
+def span_days_of(start: Column, end: Column) -> Column:
+    """Days of a half-open range, a part of one as one."""
+    return F.ceil((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 86_400_000_000.0)
+
+
 # the same on the driver, for ranges and spines
 
 
@@ -89,6 +123,15 @@ def fiscal_year_to_date(now: datetime) -> tuple[datetime, datetime]:
     return day_start(date(day.year if day.month >= 4 else day.year - 1, 4, 1)), now + timedelta(milliseconds=1)
 
 
+def defaulted(first: date | str | None, last: date | str | None, now: datetime) -> tuple[datetime, datetime]:
+    """UTC bounds of a request's local days; an edge that isn't given is that of the fiscal year to date, each on its own."""
+    start, end = fiscal_year_to_date(now)
+    bounds = day_start(first) if first else start, half_open(last, last)[1] if last else end
+    if bounds[0] >= bounds[1]:
+        raise ValueError("the range is empty")
+    return bounds
+
+
 def key_of(instant: datetime, granularity: str) -> str:
     day = (instant + OFFSET).date()
     if granularity == "month":

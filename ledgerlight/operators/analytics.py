@@ -146,3 +146,32 @@ def cross_section_totals(documents: DataFrame, extraction: DataFrame) -> DataFra
         metrics.automation(c("validated"), c("corrected_documents"), c("awaiting_review")).alias("automation"),
         metrics.time_saved(c("validated"), c("overridden_fields")).alias("time_saved"),
     )
+
+
+SECTIONS = ("documents", "extraction", "reports", "queries")
+
+
+def requested(tables: dict[str, DataFrame], sections: Sequence[str], spine: DataFrame, granularity: str) -> DataFrame:
+    """bucket (null: the totals) and the asked sections' measures, each prefixed by its section; the ratios of two sections.
+
+    tables: rows of each section within scope and range, with their clock as `clock`. A section that isn't asked has null for every measure and isn't read. A
+    bucket in which nothing happened has nulls of its own. automation and time_saved need documents and extraction, which run on different
+    clocks: they're null in every bucket, and in the totals too unless both sections are asked.
+    """
+    measures = {"documents": document_measures(), "extraction": extraction_measures(), "reports": report_measures(), "queries": query_measures()}
+    out = spine.select("bucket").unionByName(spine.sparkSession.createDataFrame([(None,)], "bucket string"))
+    for section in SECTIONS:
+        named = [m.alias(f"{section}_{n}") for n, m in measures[section].items()]
+        if section in sections:
+            # one pass gives the buckets and the totals; Expand makes each row twice, before partial sums
+            rows = tables[section].withColumn("bucket", bucket_key(F.col("clock"), granularity))
+            found = rows.groupingSets([["bucket"], []], "bucket").agg(F.grouping("bucket").alias("_all"), *named)
+            out = out.alias("o").join(found.filter("_all = 1 or bucket is not null").drop("_all").alias("f"), F.col("o.bucket").eqNullSafe(F.col("f.bucket")), "left").drop(F.col("f.bucket"))
+        else:
+            schema = tables[section].limit(0).agg(*named).schema
+            out = out.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema})
+    totals_of_both = F.col("bucket").isNull() & F.lit("documents" in sections and "extraction" in sections)
+    return out.withColumns({
+        "automation": F.when(totals_of_both, metrics.automation(F.col("documents_validated"), F.col("extraction_corrected_documents"), F.col("documents_awaiting_review"))),
+        "time_saved": F.when(totals_of_both, metrics.time_saved(F.col("documents_validated"), F.col("extraction_overridden_fields"))),
+    })

@@ -62,6 +62,17 @@ def next_version(report: DataFrame, sections: DataFrame) -> DataFrame:
     return report.filter(F.col("status") == "draft").join(sections, "report_id").withColumn("version", F.col("version") + 1)
 
 
+def appended_versions(versions: DataFrame, edits: DataFrame, by: Column, at: Column) -> DataFrame:
+    """versions (report_id, version, sections, created_by, created_at) and the rows that edits (report_id, sections) of drafts add: the latest number and one.
+
+    Earlier versions stay as they are. An edit with no section, or with the very sections that the latest version has, adds none; edits of reports without a
+    version add none either.
+    """
+    changed = latest_version(versions).select("report_id", "version", F.col("sections").alias("_old")).join(edits, "report_id").filter((F.size("sections") > 0) & ~F.col("sections").eqNullSafe(F.col("_old")))
+    new = changed.select("report_id", (F.col("version") + 1).alias("version"), "sections", by.alias("created_by"), at.alias("created_at"))
+    return versions.unionByName(new)
+
+
 TRANSITIONS = {("draft", "published"), ("published", "archived"), ("draft", "archived")}
 
 

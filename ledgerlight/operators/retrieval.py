@@ -151,6 +151,11 @@ def answer_segments(answers: DataFrame, citations: DataFrame) -> DataFrame:
     )
 
 
+def claimed_refs(text: Column) -> Column:
+    """References that a text claims, in order."""
+    return F.regexp_extract_all(text, F.lit(r"\{\{ref:(S\d{1,3})\}\}"), F.lit(1))
+
+
 def prompts(questions: DataFrame, passages: DataFrame, nonce: str, fence: str = "GROUNDED_UNTRUSTED_SOURCE") -> DataFrame:
     """question_id, prompt: the question and its passages (ref, rank, text and, where there are such, page and section), each within a fence of its own.
 

@@ -126,9 +126,15 @@ def bucket_spine_zero_fill(spark, sf):
     return calendar.zero_filled(series, calendar.spine(spark, *bounds, "month"), ["validated"]).select("bucket", "validated", "review_share")
 
 
-@register("bucket_partial_flag", """SELECT * FROM (VALUES ('FY1994-Q4', true), ('FY1995-Q1', false), ('FY1995-Q2', true)) AS t(bucket, partial)""")
+@register("bucket_partial_flag", f"""b AS (SELECT min(created_at) AS lo, max(created_at) AS hi FROM qs), k AS (SELECT DISTINCT {quarter('created_at')} AS bucket FROM qs UNION SELECT DISTINCT {month('created_at')} FROM qs),
+s AS (SELECT bucket, CASE WHEN bucket[1:2] = 'FY' THEN make_timestamp(bucket[3:6]::BIGINT + CASE WHEN bucket[9:9] = '4' THEN 1 ELSE 0 END, (bucket[9:9]::BIGINT * 3) % 12 + 1, 1, 0, 0, 0) ELSE strptime(bucket || '-01', '%Y-%m-%d') END AS local FROM k)
+SELECT bucket, local - INTERVAL 330 MINUTE < lo OR local + CASE WHEN bucket[1:2] = 'FY' THEN INTERVAL 3 MONTH ELSE INTERVAL 1 MONTH END - INTERVAL 330 MINUTE > hi AS partial FROM s, b""", "qs")
 def bucket_partial_flag(spark, sf):
-    return calendar.spine(spark, *calendar.half_open("1995-02-10", "1995-08-20"), "quarter")
+    """Of the range in which the questions were asked: the first and last month and quarter are covered in part."""
+    rows = c.queries(spark, sf).select("created_at")
+    bounds = rows.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"))
+    keys = rows.select(calendar.quarter_key(F.col("created_at")).alias("bucket")).unionByName(rows.select(calendar.month_key(F.col("created_at")).alias("bucket"))).distinct()
+    return keys.crossJoin(bounds).select("bucket", calendar.partial_of(F.col("bucket"), F.col("lo"), F.col("hi")).alias("partial"))  # one row
 
 
 # analytics
@@ -248,9 +254,10 @@ def metrics_ratios(spark, sf):
 CHANGE_SQL = f"CASE WHEN {{p}} = 0 THEN NULL ELSE {r('({c} - {p})::DOUBLE / nullif({p}, 0) * 100.0')} END"
 
 
-@register("change_percent_negative_half", f"SELECT a, b, {CHANGE_SQL.format(c='a', p='b')} AS change_percent FROM (VALUES (1755::BIGINT, 2000::BIGINT), (7, 0), (0, 0), (2245, 2000), (0, 40)) AS t(a, b)")
+@register("change_percent_negative_half", f"SELECT id, a, b, {CHANGE_SQL.format(c='a', p='b')} AS change_percent FROM (SELECT o_orderkey AS id, o_orderkey % 4001 AS a, o_custkey % 17 * 125 AS b FROM orders)")
 def change_percent_negative_half(spark, sf):
-    rows = spark.createDataFrame([(1755, 2000), (7, 0), (0, 0), (2245, 2000), (0, 40)], "a long, b long")
+    """Changes that end in a half, of both signs, and changes from zero."""
+    rows = c.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4001).alias("a"), (F.col("o_custkey") % 17 * 125).alias("b"))
     return rows.withColumn("change_percent", metrics.change_percent(F.col("a"), F.col("b")))
 
 

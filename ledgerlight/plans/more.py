@@ -188,12 +188,13 @@ def section_points(spark, sf):
     return analytics.series(c.documents(spark, sf), "created_at", "quarter", analytics.document_measures()).unpivot("bucket", ["total", "validated", "failed"], "measure", "value")
 
 
-@register("fiscal_year_to_date", "SELECT count(*) AS n, 307::BIGINT AS days FROM qs WHERE created_at >= TIMESTAMP '2023-03-31 18:30:00' AND created_at < TIMESTAMP '2024-02-01 00:00:00.001'", "qs")
+@register("fiscal_year_to_date", "SELECT count(*) AS n, ceil(epoch(TIMESTAMP '2024-02-01 00:00:00.001' - TIMESTAMP '2023-03-31 18:30:00') / 86400.0)::BIGINT AS days, max(ceil(epoch(TIMESTAMP '2024-02-01 00:00:00.001' - created_at) / 86400.0)::BIGINT) AS oldest_days FROM qs WHERE created_at >= TIMESTAMP '2023-03-31 18:30:00' AND created_at < TIMESTAMP '2024-02-01 00:00:00.001'", "qs")
 def fiscal_year_to_date(spark, sf):
-    """The default range, and its ceiling in days and buckets."""
+    """The default range, its ceiling in days, and the span in days of the oldest question in it."""
     bounds = calendar.checked_range(calendar.fiscal_year_to_date(datetime.fromisoformat(NOW)), "month")
     rows = c.queries(spark, sf).filter(calendar.within(F.col("created_at"), bounds))
-    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("days", F.lit(calendar.span_days(*bounds)).cast("long"))
+    oldest = F.max(calendar.span_days_of(F.col("created_at"), F.lit(bounds[1]).cast("timestamp_ntz"))).alias("oldest_days")
+    return rows.agg(F.count(F.lit(1)).alias("n"), oldest).withColumn("days", F.lit(calendar.span_days(*bounds)).cast("long"))
 
 
 @register("real_dates", "SELECT id, d, try_cast(d AS DATE) IS NOT NULL AS is_date FROM (SELECT id, '2025-02-' || lpad((id % 40)::VARCHAR, 2, '0') AS d FROM docs)", "docs")
@@ -270,9 +271,9 @@ def previews(spark, sf):
     return c.read(spark, sf, "documents").select("doc_id", F.left("text", F.lit(200)).alias("preview"), F.left("text", F.lit(300)).alias("quote"))
 
 
-@register("stripped_texts", "SELECT doc_id, regexp_replace(regexp_replace(chr(7) || ' ' || text || chr(0 + 11) || ' ', '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE regexp_matches(text, '^[\\x20-\\x7E\\n\\t]*$')")
+@register("stripped_texts", "SELECT doc_id, regexp_replace(regexp_replace(chr(7) || ' ' || text || chr(0 + 11) || ' ', '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def stripped_texts(spark, sf):
-    rows = c.read(spark, sf, "documents").filter(F.rlike("text", F.lit(r"\A[\x20-\x7E\n\t]*\z")))
+    rows = c.read(spark, sf, "documents")
     return rows.select("doc_id", text.stripped(F.concat(F.lit("\x07 "), F.col("text"), F.lit("\x0b "))).alias("text"))
 
 
@@ -288,9 +289,9 @@ def colour_steps(spark, sf):
 
 @register("upload_manifest", "SELECT doc_id, (doc_id % 5)::VARCHAR || '/2026/04/' || doc_id::VARCHAR || '.txt' AS storage_key, sha256(text) AS checksum, octet_length(encode(text)) AS size_bytes, 'spreadsheet' AS type, 'queued' AS status FROM documents WHERE text <> ''")
 def upload_manifest(spark, sf):
-    """Text files through the gate: those accepted are queued, with a key by tenant and month."""
+    """Text files through the gate: those accepted (an empty one isn't) are queued, with a key by tenant and month."""
     i = F.col("doc_id")
-    files = c.read(spark, sf, "documents").filter("text <> ''").select(i, (i % 5).alias("tenant"), F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.lit("text/plain").alias("mime"), F.col("text").cast("binary").alias("content"))
+    files = c.read(spark, sf, "documents").select(i, (i % 5).alias("tenant"), F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.lit("text/plain").alias("mime"), F.col("text").cast("binary").alias("content"))
     return ingest.manifest(files, "2026/04").select("doc_id", "storage_key", "checksum", "size_bytes", "type", "status")
 
 
@@ -371,9 +372,12 @@ def report_citations(spark, sf):
     return reports.citations(templates, fields).select("report_id", F.col("at").cast("long").alias("place"), "key", "field_id")
 
 
-@register("unresolved_reports", """SELECT document_id AS report_id, true AS unresolved FROM fields GROUP BY 1""", "fields")
+@register("unresolved_reports", "SELECT id AS report_id, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = id AND l_linenumber = id % 7 + 1) AS unresolved FROM docs", "docs")
 def unresolved_reports(spark, sf):
-    return k.report_draft(spark, sf).select("report_id", reports.has_unresolved(F.col("text")).alias("unresolved"))
+    """Each report asks for the quantity of one line, which its order may not have."""
+    templates = c.documents(spark, sf).select(F.col("id").alias("report_id"), F.lit(1).alias("section"), F.concat(F.lit("Quantity: {{Line "), (F.col("id") % 7 + 1).cast("string"), F.lit("}}")).alias("body"))
+    fields = c.fields(spark, sf).select(F.col("document_id").alias("report_id"), F.col("l_linenumber").alias("field_id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("l_quantity").cast("string").alias("value"), "confidence")
+    return reports.drafted(templates, fields).select("report_id", reports.has_unresolved(F.col("text")).alias("unresolved"))
 
 
 @register("rule_ids", f"SELECT document_id, array_to_string(list_sort(string_split(flags, ',')), ',') AS rules FROM ({k.FLAGS_SQL}) WHERE flags <> ''")

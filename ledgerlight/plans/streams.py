@@ -71,7 +71,7 @@ def done(spark, sf):
     return answering.processed(spark, asked(spark, sf), users(spark, sf), k.index_of(spark, sf), c.chunks(spark, sf), c.parents(spark, sf), claiming, written)
 
 
-@register("processed_queries", c.with_ctes("SELECT 1", "chunks", "parents").removesuffix("\nSELECT 1") + ",\n" + PROCESSED_SQL)
+@register("processed_queries", PROCESSED_SQL, "chunks", "parents")
 def processed_queries(spark, sf):
     """Claimed questions through authorisation, retrieval, answer, citations and their end."""
     return done(spark, sf).select("query_id", "status", "answer_status", "failure_reason", "response_text", F.size("citations").cast("long").alias("citations"), "candidates", "passages_used", "passages_withheld", "discarded")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,7 +171,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def with_ctes(body: str, *names: str) -> str:
-    """body after the named expressions and those they build on."""
+    """body after the named expressions and those they build on; a body may begin with expressions of its own (name AS ...)."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -180,4 +182,4 @@ def with_ctes(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + (",\n" if re.match(r"\w+ AS \(", body) else "\n") + body

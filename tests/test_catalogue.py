@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from ledgerlight.plans import catalogue, details, more, streams  # noqa: F401
+from ledgerlight.plans import catalogue, details, more, requests, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
