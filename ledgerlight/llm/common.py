@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; if its files are one task's worth at most (by Spark's own estimate), dealt to all cores, since a row group can't be split. Larger ones are read as they lie."""
+    rows = table(spark, sf_dir, name)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 

@@ -22,7 +22,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import spread_table
 
 # Fixed values of HTML: elements whose text is no markup, elements that begin and end a block, elements without an end.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video select datalist".split())
@@ -347,4 +347,4 @@ def extract(pages: DataFrame, column: str = "html", text: str = "text", n_chars:
 
 
 def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extract(spread_table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spread_table, table, written
 
 BUCKETS = 10_000
 #: Words of a feature, at most.
@@ -70,12 +70,17 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     """How often the features of all texts fall into each bucket. Null texts have none."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, held, waiting = np.zeros(BUCKETS, np.int64), [], 0
         for batch in batches:
             for text in _texts(batch, "text"):
                 for words, old in sliced_words(text or b""):
-                    for found in features(words, old):
-                        total += np.bincount(found, minlength=BUCKETS)
+                    held += features(words, old)
+                    waiting += 3 * (len(words) - old)
+                    if waiting >= GATHERED:
+                        total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                        held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
 
     vectors = docs.select("text").mapInArrow(counted, "counts binary").rdd.map(lambda r: np.frombuffer(r["counts"], np.int64))
@@ -170,4 +175,4 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
 
 
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resample(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

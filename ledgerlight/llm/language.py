@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import fresh, spread_table, written
 
 #: Labelled documents of each language that the model is fitted on, about; n-grams that a task counts before it passes them on.
 SAMPLE_DOCS, FLUSH = 2000, 200_000
@@ -281,6 +281,6 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(~is_held_out(F.col("doc_id"))))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
