@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import fresh, shielded, table, text_key, written
+from ledgerlight.llm.common import fresh, shielded, spread_table, text_key, written
 from ledgerlight.llm.language import UNKNOWN, identify, is_held_out, train
 from ledgerlight.llm.lines import drop_recurring
 from ledgerlight.llm.mixing import copied, mix
@@ -117,7 +117,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
