@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,14 @@ def shielded(docs: DataFrame, *added: str) -> tuple[DataFrame, list[Column]]:
     return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
 
 
+def give_back() -> None:
+    """Return memory that this Python worker holds but doesn't use to the system: it lives on through the stages that follow, beside the next worker's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

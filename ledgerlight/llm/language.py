@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, spread_table, written
+from .common import fresh, give_back, spread_table, written
 
 #: Labelled documents of each language that the model is fitted on, about; n-grams that a task counts before it passes them on.
 SAMPLE_DOCS, FLUSH = 2000, 200_000
@@ -59,10 +59,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: What the pattern above takes for letters though it's none: fractions, circled numbers and so on. Each goes to a blank.
 _NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
 _NUMERAL_SET = frozenset(map(chr, _NUMERALS))
-#: Those that stand among Latin letters; any other makes a text _ODD.
-_LATIN_NUMERALS = "\xb2\xb3\xb9\xbc\xbd\xbe"
-#: What makes some word of a text more than one: letters beyond Latin, or a run that is too long.
-_ODD = re.compile(rf"[^\x00-\xb4\xb6-\u024f\u1e00-\u1eff]|[^\W\d_]{{{LONGEST + 1}}}").search
+#: What a text has if a word of it may be more than one, or a numeral: characters beyond Latin letters, and the numerals among those.
+_BEYOND = re.compile(r"[^\x00-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-\u024f\u1e00-\u1eff]").search
 
 
 @lru_cache(4096)
@@ -87,11 +85,11 @@ def parts_of(run: str) -> tuple[str, ...]:
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
-    odd = _ODD(text)
-    if (odd or any(c in text for c in _LATIN_NUMERALS)) and not _NUMERAL_SET.isdisjoint(text):
+    beyond = not text.isascii() and _BEYOND(text) is not None
+    if beyond and not _NUMERAL_SET.isdisjoint(text):
         text = text.translate(_NUMERALS)
     runs = _WORD.findall(text)
-    return [p for r in runs for p in parts_of(r)] if odd else runs
+    return [p for r in runs for p in parts_of(r)] if beyond or max(map(len, runs), default=0) > LONGEST else runs
 
 
 def ngrams(word: str) -> list[str]:
@@ -271,6 +269,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", switc
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "spans": spans})
         if m:
             m.forget()  # an idle worker holds no words
+        give_back()
 
     (made,) = fresh(docs, "_label")
     return docs.withColumn(made, label(F.col(text_col))).select(*docs.columns, f"{made}.lang_pred", f"{made}.score", f"{made}.spans")

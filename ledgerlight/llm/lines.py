@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, removed, table, text_key, written
+from .common import fresh, give_back, removed, table, text_key, written
 
 LEAD, MAJORITY, LIKENESS, MIN_DOCS = 3, 0.5, 0.6, 5
 #: Characters outside of fields from which a template is long, and the texts that make such a one recur.
@@ -46,6 +46,10 @@ def n_fixed(tokens: list[str]) -> int:
     return sum(len(t) for t in tokens if t != FIELD)
 
 
+#: Lines that a task holds before it passes them on.
+ROWS = 50_000
+
+
 def leaf_of(tokens: list[str]) -> str:
     return f"{len(tokens)} " + " ".join(tokens[:LEAD])
 
@@ -56,12 +60,16 @@ def parsed(docs: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
+            made = lambda rows, kind=b["doc_id"].dtype: pd.DataFrame(rows, columns=["doc_id", "key", "line", "leaf", "template", "fixed"]).astype({"doc_id": kind})
             for doc, key, text in zip(b["doc_id"], b["key"], b["text"], strict=True):
                 for number, line in enumerate(text.split("\n")) if text else ():
                     if tokens := tokens_of(line):
                         rows.append((doc, key, number, _hash(leaf_of(tokens)), _hash(" ".join(tokens)), n_fixed(tokens)))
-            out = pd.DataFrame(rows, columns=["doc_id", "key", "line", "leaf", "template", "fixed"])
-            yield out.astype({"doc_id": b["doc_id"].dtype})
+                if len(rows) >= ROWS:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
+        give_back()
 
     return docs.mapInPandas(parse, "doc_id long, key long, line int, leaf long, template long, fixed int")
 
