@@ -46,7 +46,7 @@ def n_fixed(tokens: list[str]) -> int:
     return sum(len(t) for t in tokens if t != FIELD)
 
 
-#: Lines that a task holds before it passes them on.
+#: Lines, or tokens of lines, that a task holds before it passes them on.
 ROWS = 50_000
 
 
@@ -93,14 +93,19 @@ def generalised(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
     asked = shown.groupBy("doc_id", "key").agg(F.collect_list(F.struct("leaf", "template", "n", "docs", "line")).alias("found"))
 
     def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lambda rows: pd.DataFrame(rows, columns=["leaf", "template", "n", "docs", "tokens", "sizes"])
+        rows, size = [], 0
         for b in batches:
             for text, found in zip(b["text"], b["found"], strict=True):
                 all_lines = text.split("\n")
-                rows = []
                 for x in found:
                     tokens = tokens_of(all_lines[x["line"]])
                     rows.append((x["leaf"], x["template"], x["n"], x["docs"], [_hash(t) for t in tokens], [n_fixed([t]) for t in tokens]))
-                yield pd.DataFrame(rows, columns=["leaf", "template", "n", "docs", "tokens", "sizes"])
+                    size += len(tokens)
+                if size >= ROWS:
+                    yield made(rows)
+                    rows, size = [], 0
+        yield made(rows)
 
     words = docs.alias("d").join(asked.alias("a"), _same("d", "a")).select("d.text", "a.found").mapInPandas(spelled, "leaf long, template long, n long, docs long, tokens array<long>, sizes array<int>")
     words = written(words.dropDuplicates(["leaf", "template"]), "lines-words")
