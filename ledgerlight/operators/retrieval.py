@@ -77,21 +77,22 @@ def bm25(questions: DataFrame, passages: DataFrame, most: int = PASSAGES) -> Dat
 
     A passage that holds two neighbouring terms of the question side by side gets PHRASE more.
     """
-    asked = questions.select("question_id", F.array_distinct(tokens(F.col("text"))).alias("terms"), bigrams(tokens(F.col("text"))).alias("pairs"))
-    held = passages.withColumn("tokens", tokens(F.col("text"))).withColumn("length", F.size("tokens"))
+    asked = questions.select("question_id", tokens(F.col("text")).alias("_t")).select("question_id", F.array_distinct("_t").alias("terms"), bigrams(F.col("_t")).alias("pairs"))
+    held = passages.select("question_id", "ref", "text", tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
     whole = Window.partitionBy("question_id")
     held = held.withColumns({"n": F.count(F.lit(1)).over(whole), "mean": F.avg("length").over(whole)})
-    hits = held.join(asked, "question_id").select("question_id", "ref", "n", "mean", "length", F.explode("terms").alias("term"), F.col("tokens").alias("_t"))
-    hits = hits.withColumn("tf", F.size(F.filter("_t", lambda t: t == F.col("term")))).filter("tf > 0")
-    hits = hits.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("question_id", "term")))
+    # all that follows is dealt by the question, as the passages are
+    counts = F.transform("terms", lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
+    phrase = F.exists("pairs", lambda p: F.contains(F.lower("text"), p))
+    hits = held.join(asked, "question_id").select("question_id", "ref", "n", "mean", "length", phrase.alias("_p"), F.inline(counts))
+    found = F.col("tf") > 0
+    hits = hits.withColumn("df", F.count_if(found).over(Window.partitionBy("question_id", "term")))
     idf = F.ln(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / F.col("mean")))
-    scores = hits.groupBy("question_id", "ref").agg(F.sum(part).alias("_s"))
-    phrase = held.join(asked, "question_id").select("question_id", "ref", F.exists("pairs", lambda p: F.contains(F.lower("text"), p)).alias("_p"))
-    both = phrase.join(scores, ["question_id", "ref"], "left")
+    sums = hits.groupBy("question_id", "ref").agg(F.sum(F.when(found, part)).alias("_s"), F.max("_p").alias("_p"))
     score = metrics.rounded(F.coalesce("_s", F.lit(0.0)) + F.when(F.col("_p"), PHRASE).otherwise(0.0), 6)
     order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "ref")
-    return both.select("question_id", "ref", score.alias("bm25")).filter("bm25 > 0").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return sums.select("question_id", "ref", score.alias("bm25")).filter("bm25 > 0").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
 def answer_sentences(questions: DataFrame, passages: DataFrame, most: int = SENTENCES) -> DataFrame:

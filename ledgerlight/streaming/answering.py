@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.calendar import month_key
 from ..functions.text import answer_text, folded
 from ..operators import index, ingest, retrieval, topics
+from ..sources.kept import deleted
 from .tables import append_once, audit_rows, replace_in, stored
 
 ASKED = "query_id long, asked_by long, scope array<long>, document_ids array<long>, text string, is_parliamentary boolean, created_at timestamp_ntz, max_attempts int"
@@ -165,10 +166,10 @@ def answer_stream(
     rows = spark.readStream.schema(ASKED).json(landing)
 
     def batch(asked: DataFrame, number: int) -> None:
-        session = asked.sparkSession
+        session, work = asked.sparkSession, f"{checkpoint}/work/{name}-{number}"
 
         def keep(df: DataFrame, what: str) -> DataFrame:
-            path = f"{checkpoint}/work/{name}-{number}/{what}"
+            path = f"{work}/{what}"
             df.write.mode("overwrite").parquet(path)
             return session.read.schema(df.schema).parquet(path)
 
@@ -197,5 +198,6 @@ def answer_stream(
         append_once(f"{out}/audit", trail, name, number)
         if after is not None:
             after(ended.select(F.explode("scope").alias("tenant")).distinct())
+        deleted(session, work)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -19,6 +19,7 @@ from ..functions.calendar import month_key
 from ..functions.text import folded, visible
 from ..operators import index, ingest, topics
 from ..operators.changes import MOST_ATTEMPTS
+from ..sources.kept import deleted
 from .tables import append_once, audit_rows, replace_in, stored
 
 DOCUMENTS = "document_id long, tenant long, created_at timestamp_ntz, attempts int, text string"
@@ -135,5 +136,6 @@ def ingest_stream(
         append_once(f"{out}/audit", trail, name, number)
         if after is not None:
             after(done.filter("status = 'validated'").select("tenant").distinct())
+        deleted(docs.sparkSession, work)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
