@@ -107,7 +107,8 @@ def kept(spark: SparkSession, name: str, sources: Sequence[str], version: str, m
     made = make()
 
     def write(to: str) -> None:
-        made.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(to)
+        once = written(made, name)  # ranges are found by a sample, which would make all of it once more
+        once.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(to)
 
     path = kept_folder(spark, name, sources, version, write)
     return spark.read.schema(made.schema).parquet(path).select(*made.columns)
