@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.scope import contained, tenant_in
-from ..operators import analytics, reports, retrieval, rules, topics
+from ..operators import analytics, presented, reports, retrieval, rules, topics
 from ..sources import collections as c
 from . import catalogue as k
 from .catalogue import CONTAINED_SQL, DOC_SQL, FIELD_SQL, FROM, NOW, RANGE_SQL, REPORT_SQL, SCOPE, SCOPE_SQL, TO, quarter, r, register
@@ -145,3 +145,26 @@ def topic_movements(spark, sf):
     months = calendar.spine(spark, *calendar.half_open(k.TERM_FROM, k.TERM_TO), "month")
     filled = topics.zero_filled_trend(topics.trend(k.terms(spark, sf), "period_month", 1, 4000), months)
     return topics.comparison(filled).filter(F.col("movement").isNotNull()).select("term", "movement", "current", "previous")
+
+
+@register("presented_documents", "SELECT id, tenant, type, status, ocr_confidence, requires_review, coalesce(injection_suspected, false) AS injection_suspected, 0::BIGINT AS tags, NULL::VARCHAR AS processing_error FROM docs", "docs")
+def presented_documents(spark, sf):
+    """A document's shape: flags have their defaults, and what is the library's own stays inside."""
+    rows = presented.shaped(c.documents(spark, sf).withColumns({"storage_key": F.lit("5/x"), "rules": F.lit("role-reassignment")}), presented.DOCUMENT)
+    return rows.select("id", "tenant", "type", "status", "ocr_confidence", "requires_review", "injection_suspected", F.size("tags").cast("long").alias("tags"), "processing_error")
+
+
+@register("presented_query_summaries", f"""SELECT id, status, review_status, 'answer of ' || id::VARCHAR AS answer_preview, len(list_filter(scope, lambda t: t IN {SCOPE_SQL})) AS citation_count, coalesce(discarded, 0) AS discarded, coalesce(injection_suspected, false) AS injection_suspected,
+ CASE WHEN len(scope) = 1 THEN scope[1] END AS tenant FROM qs""", "qs")
+def presented_query_summaries(spark, sf):
+    """The log of questions: previews, and the citations that this reader may see counted."""
+    cited = F.transform("scope", lambda t: F.struct(t.alias("tenant"), F.lit(1).alias("ordinal")))
+    answer = F.rpad(F.concat(F.lit("answer of "), F.col("id").cast("string"), F.lit("|")), 300, "x")
+    rows = c.queries(spark, sf).withColumns({"citations": cited, "response_text": answer})
+    return presented.query_summaries(rows, SCOPE).select("id", "status", "review_status", F.substring_index("answer_preview", "|", 1).alias("answer_preview"), "citation_count", "discarded", "injection_suspected", "tenant")
+
+
+@register("presented_reports", "SELECT id, tenant, status, has_unreviewed_figures, published_at, NULL::TIMESTAMP AS archived_at, 0::BIGINT AS documents FROM reps", "reps")
+def presented_reports(spark, sf):
+    rows = presented.shaped(c.reports(spark, sf), presented.REPORT)
+    return rows.select("id", "tenant", "status", "has_unreviewed_figures", "published_at", "archived_at", F.size("document_ids").cast("long").alias("documents"))
