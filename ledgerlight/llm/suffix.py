@@ -248,7 +248,11 @@ def _counted(distinct: DataFrame, size: int) -> DataFrame:
 
     each = written(distinct.mapInPandas(windows, "anchor long, segment long, number int, a int, h1 long, h2 long"), "suffix-windows")
     twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    return each.join(twice, ["h1", "h2"]).select("anchor", "segment", "number", F.array(F.struct("a", (F.col("a") + 1).alias("b"))).alias("marks"))
+    # neighbouring windows make one mark: a segment has SIZE - GRAM + 1 windows at most, so no more are gathered for it
+    found = each.join(twice, ["h1", "h2"]).groupBy("anchor", "segment", "number").agg(F.collect_set("a").alias("at"))
+    first = F.array_sort(F.filter("at", lambda a: ~F.array_contains("at", a - 1)))
+    last = F.array_sort(F.filter("at", lambda a: ~F.array_contains("at", a + 1)))
+    return found.select("anchor", "segment", "number", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b"))).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
