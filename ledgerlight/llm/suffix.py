@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, removed, table, text_key, written
+from .common import give_back, parts_for, removed, table, text_key, written
 
 SIZE, GRAM = 200, 64
 #: Bytes that one scanning step holds, of one index, and the most distinct segments of an indexed anchor.
@@ -128,6 +128,7 @@ def scan(docs: DataFrame, size: int, gram: int) -> DataFrame:
                     "doc_id": b["doc_id"].iloc[rows].to_numpy(), "key": b["key"].iloc[rows].to_numpy(),
                     "start": start - begins[piece] + np.array(at)[piece], "number": number, "anchor": anchor, "segment": segment,
                 })
+            give_back()
 
     return docs.mapInPandas(scanned, "doc_id long, key long, start long, number int, anchor long, segment long")
 
@@ -227,6 +228,8 @@ def _indexed(distinct: DataFrame, size: int) -> DataFrame:
         g = g.sort_values(["anchor", "segment", "number"]).reset_index(drop=True)
         stats, first = matching_statistics(g["bytes"].tolist())
         marks = [[{"a": a, "b": b} for a, b in _true_runs(stats[f : f + n] >= size)] for f, n in zip(first.tolist(), g["number"].tolist(), strict=True)]
+        del stats, first
+        give_back()
         return g[["anchor", "segment", "number"]].assign(marks=marks)
 
     total = distinct.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -311,6 +314,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
                 left.append(b"".join(data[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)))
                 spans.append([{"start": i, "end": j} for i, j in out])
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "spans": spans, "kept": left})
+            del spans, left
+            give_back()
 
     rows = docs.alias("d").join(ranges.alias("a"), same("d", "a"), "left").select("d.doc_id", F.coalesce(F.octet_length("d.text"), F.lit(0)).cast("long").alias("n_bytes"), "d.text", "a.ranges")
     return rows.mapInPandas(kept, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
