@@ -8,31 +8,56 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.calendar import month_key, quarter_key
-from ..functions.text import tokens
+from ..functions.text import term_counts
 
 MOST_TERMS, SAMPLE = 300, 25
 CLUSTER_TERMS, MOST_CLUSTERS, CLUSTER_SIZE, NEARNESS = 60, 25, 12, 0.35
 #: Changes with the way terms are made or counted.
-VERSION = "terms-1"
+VERSION = "terms-2"
 SOURCE = ["source_type", "source_id", "tenant", "source_created_at"]
 
 
 def word_frequencies(sources: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """source_type, source_id, tenant, source_created_at, text to the `most` first terms of each source by count, then term.
 
-    A source's period is that of its own creation, whenever it is indexed.
+    A source's period is that of its own creation, whenever it is indexed. A source in one row is counted and cut where its text is; only the terms of sources in
+    several rows (by their ids alone) are shuffled and added up.
     """
-    each = sources.select(*SOURCE, F.explode(tokens(F.col("text"))).alias("term")).groupBy(*SOURCE, "term").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("source_type", "source_id").orderBy(F.desc("n"), "term")
-    ranked = each.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
-    return ranked.withColumns({"period_month": month_key(F.col("source_created_at")), "period_quarter": quarter_key(F.col("source_created_at"))})
+    ids = ["source_type", "source_id"]
+    repeated = sources.groupBy(*ids).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(*[F.col(x).alias(f"_{x}") for x in ids])
+    same = F.expr("source_type <=> _source_type AND source_id <=> _source_id")
+    period = {"period_month": month_key(F.col("source_created_at")), "period_quarter": quarter_key(F.col("source_created_at"))}
+    # periods are those of a source, so they are made once for it, not for each of its terms
+    counted = lambda part, cut: part.withColumns(period).select(*SOURCE, *period, F.inline(term_counts(F.col("text"), cut)))
+    several = counted(sources.join(repeated, same, "left_semi"), None).groupBy(*SOURCE, *period, "term").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*ids).orderBy(F.desc("n"), "term")
+    several = several.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    return counted(sources.join(repeated, same, "left_anti"), most).unionByName(several).select(*SOURCE, "term", "n", *period)
+
+
+def most_frequent(terms: DataFrame, min_sources: int, limit: int) -> DataFrame:
+    """term and total of the first `limit` terms by total, then term, of those that have enough sources.
+
+    Totals add up before the shuffle. So do the least and the largest source, which differ where there are two; more than two sources have to be told apart.
+    """
+    whole = terms.groupBy("term").agg(F.sum("n").alias("total"), F.min("source_id").alias("_least"), F.max("source_id").alias("_largest"))
+    if min_sources == 2:
+        whole = whole.filter("_least <> _largest")
+    elif min_sources > 2:
+        enough = terms.select("term", "source_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_sources")).filter(F.col("_sources") >= min_sources)
+        whole = whole.join(enough, "term", "left_semi")
+    return whole.orderBy(F.desc("total"), "term").limit(limit).select("term", "total")
+
+
+def counted(terms: DataFrame, top: DataFrame, *by: str) -> DataFrame:
+    """frequency and source_count of the few terms of `top`, whose rows alone go on."""
+    by_source = terms.join(F.broadcast(top), "term").groupBy("term", *by, "total", "source_id").agg(F.sum("n").alias("n"))
+    return by_source.groupBy("term", *by, "total").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("source_count"))
 
 
 def word_cloud(terms: DataFrame, min_sources: int = 2, limit: int = 50) -> DataFrame:
     """term, frequency, source_count and weight (against the first) of the most frequent terms."""
-    by_source = terms.groupBy("term", "source_id").agg(F.sum("n").alias("n"))
-    cloud = by_source.groupBy("term").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("source_count"))
-    top = cloud.filter(F.col("source_count") >= min_sources).orderBy(F.desc("frequency"), "term").limit(limit)
+    top = counted(terms, most_frequent(terms, min_sources, limit))
     peak = top.agg(F.max("frequency").alias("_top"))
     weight = F.when(F.col("_top") == 0, 0.0).otherwise(metrics.rounded(F.col("frequency") / F.nullif("_top", F.lit(0)), 3))
     return top.crossJoin(peak).select("term", "frequency", "source_count", weight.alias("weight"))  # one row
@@ -41,20 +66,16 @@ def word_cloud(terms: DataFrame, min_sources: int = 2, limit: int = 50) -> DataF
 def source_samples(terms: DataFrame, cloud: DataFrame, most: int = SAMPLE) -> DataFrame:
     """term and source_id: the first `most` sources of each term of the cloud, by id as text.
 
-    The rank's limit is applied before the shuffle, so a term's whole list is never gathered.
+    The rank's limit is applied before the shuffle, so a term's whole list is never gathered. Rows of one source have one rank.
     """
-    pairs = terms.join(cloud.select("term"), "term").select("term", F.col("source_id").cast("string").alias("source_id")).distinct()
+    pairs = terms.join(F.broadcast(cloud.select("term")), "term").select("term", F.col("source_id").cast("string").alias("source_id"))
     order = Window.partitionBy("term").orderBy("source_id")
-    return pairs.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+    return pairs.withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= most).select("term", "source_id").distinct()
 
 
 def trend(terms: DataFrame, bucket: str, min_sources: int = 2, limit: int = 20) -> DataFrame:
-    """term, bucket, frequency, source_count of the terms that have the most in all and enough sources."""
-    by_source = terms.groupBy("term", F.col(bucket).alias("bucket"), "source_id").agg(F.sum("n").alias("n"))
-    by_bucket = by_source.groupBy("term", "bucket").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("source_count"))
-    whole = terms.groupBy("term", "source_id").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_sources"))
-    top = whole.filter(F.col("_sources") >= min_sources).orderBy(F.desc("total"), "term").limit(limit).drop("_sources")
-    return by_bucket.join(top, "term")
+    """term, bucket, frequency, source_count, total of the terms that have the most in all and enough sources."""
+    return counted(terms.withColumn("bucket", F.col(bucket)), most_frequent(terms, min_sources, limit), "bucket")
 
 
 def zero_filled_trend(series: DataFrame, spine: DataFrame) -> DataFrame:
@@ -80,11 +101,10 @@ def pivoted(filled: DataFrame, plotted: list[str]) -> DataFrame:
 
 def pair_jaccard(samples: DataFrame, least: float = 0.0) -> DataFrame:
     """term_a < term_b with the Jaccard similarity of their source samples, for pairs that share a source."""
-    sizes = samples.groupBy("term").agg(F.count(F.lit(1)).alias("size"))
-    a, b = (samples.select(F.col("term").alias(f"term_{x}"), "source_id") for x in "ab")
-    both = a.join(b, "source_id").filter("term_a < term_b").groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("shared"))
-    for x in "ab":
-        both = both.join(sizes.select(F.col("term").alias(f"term_{x}"), F.col("size").alias(f"size_{x}")), f"term_{x}")
+    sized = samples.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    held = sized.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("term", "size"))).alias("terms"))  # of a source, at most the terms of the cloud
+    each = held.select(F.posexplode("terms").alias("at", "a"), "terms").select("a", F.explode(F.slice("terms", F.col("at") + 2, F.greatest(F.size("terms"), F.lit(1)))).alias("b"))
+    both = each.groupBy(*[F.col(f"{x}.{y}").alias(f"{y}_{x}") for y in ("term", "size") for x in "ab"]).agg(F.count(F.lit(1)).alias("shared"))
     similarity = metrics.rounded(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 6)
     return both.select("term_a", "term_b", similarity.alias("jaccard")).filter(F.col("jaccard") > least)
 

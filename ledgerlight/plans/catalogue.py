@@ -325,7 +325,7 @@ def tokens_per_source_top300(spark, sf):
 def terms(spark, sf):
     """The kept facts, by month: made once of both kinds of sources."""
     make = lambda: topics.word_frequencies(c.term_sources(spark, sf))
-    return kept(spark, "terms", [f"{sf}/documents.parquet", f"{sf}/conversations.parquet"], topics.VERSION, make, "period_month", ["term", "source_type", "source_id"])
+    return kept(spark, "terms", [f"{sf}/documents.parquet", f"{sf}/conversations.parquet"], topics.VERSION, make, "period_month", [])
 
 
 @register("word_frequencies", "SELECT source_type, tenant, period_month, count(*) AS rows, sum(n)::BIGINT AS n, count(DISTINCT term) AS terms FROM wf GROUP BY 1, 2, 3", "wf")

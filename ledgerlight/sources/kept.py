@@ -103,12 +103,14 @@ def kept_folder(spark: SparkSession, name: str, sources: Sequence[str], version:
 
 
 def kept(spark: SparkSession, name: str, sources: Sequence[str], version: str, make: Callable[[], DataFrame], by: str, order: Sequence[str]) -> DataFrame:
-    """The kept table of this name, with a folder for each value of `by` and files in the ranges of `order`, which should tell rows apart."""
+    """The kept table of this name, with a folder for each value of `by`; each task's rows lie there in `order`, as one file.
+
+    Rows are written where they are made: putting all of them in one order would shuffle them once and sample them before.
+    """
     made = make()
 
     def write(to: str) -> None:
-        once = written(made, name)  # ranges are found by a sample, which would make all of it once more
-        once.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(to)
+        made.sortWithinPartitions(by, *order).write.partitionBy(by).parquet(to)
 
     path = kept_folder(spark, name, sources, version, write)
     return spark.read.schema(made.schema).parquet(path).select(*made.columns)
