@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import LOW_CONFIDENCE
-from ..functions.text import n_invisible, visible
+from ..functions.text import visible
 
 CHUNK, MOST_FIELDS = 1200, 100
 # Accepted extensions with their type and MIME type, and the first bytes (hex) of binary ones.
@@ -33,6 +36,18 @@ RULES = [
     ("tool-invocation", "low", rf"(?i){_L}(call|invoke|execute){_R}[^.\n]{{0,30}}{_L}(function|tool|endpoint|api){_R}|\"tool_call\"|\"action\"\s*:"),
     ("data-exfil-link", "low", r"(?i)!\[[^\]]*\]\(\s*https?:"),
 ]
+# For each rule, lists of words in lower case: a text that breaks it holds one of every list. Most texts hold none, and a search for a word takes a small part
+# of a pattern's time.
+_SIGNS = {
+    "instruction-override": [("ignore", "disregard", "forget"), ("instruction", "prompt", "rule", "direction")],
+    "role-reassignment": [("you are ", "act as", "system prompt", "new instruction", "system", "assistant")],
+    "exfiltration": [("reveal", "print", "output", "repeat", "disclose"), ("system prompt", "your instructions", "api", "secret", "password", "credential")],
+    "fence-forgery": [("<<<", ">>>", "inst]", "<|", "-----")],
+    "cross-tenant": [("subsidiar", "regardless of ")],
+    "privileged-action": [("publish", "archive", "approve", "grant", "override", "revoke"), ("report", "user", "field", "access")],
+    "tool-invocation": [("call", "invoke", "execute", '"action"'), ("function", "tool", "endpoint", "api", '"action"')],
+    "data-exfil-link": [("![",)],
+}
 HIDDEN_PER_MILLE = 10
 # The shapes of a labelled line and of a number.
 FIELD_LINE = r"^\s*([A-Za-z][A-Za-z0-9 _/()%-]{1,48}?)\s*[:=]\s*(.{1,200}?)\s*$"
@@ -143,10 +158,15 @@ def confidence(docs: DataFrame, fields: DataFrame) -> DataFrame:
 
 def injection_flags(raw: Column) -> Column:
     """Ids of the rules that a text breaks (text in NFKC)."""
-    seen, hidden = visible(raw), n_invisible(raw)
-    marks = [F.when(F.rlike(seen, F.lit(p)), F.lit(rule)) for rule, _, p in RULES]
-    dense = F.when((F.length(seen) > 0) & (hidden * 1000 / F.greatest(F.length(seen), F.lit(1)) >= HIDDEN_PER_MILLE), F.lit("obfuscation"))
-    return F.array_compact(F.array(*marks, dense))
+
+    def of(x: Column) -> Column:
+        signed = lambda rule: reduce(and_, [reduce(or_, [F.contains(x["low"], F.lit(word)) for word in words]) for words in _SIGNS[rule]])
+        marks = [F.when(signed(rule) & F.rlike(x["seen"], F.lit(p)), F.lit(rule)) for rule, _, p in RULES]
+        dense = F.when((F.length(x["seen"]) > 0) & (x["hidden"] * 1000 / F.greatest(F.length(x["seen"]), F.lit(1)) >= HIDDEN_PER_MILLE), F.lit("obfuscation"))
+        return F.array_compact(F.array(*marks, dense))
+
+    seen = visible(raw)
+    return F.element_at(F.transform(F.array(F.struct(seen.alias("seen"), F.lower(seen).alias("low"), (F.length(raw) - F.length(seen)).alias("hidden"))), of), 1)  # so that they are made once
 
 
 def suspected(flags: Column) -> Column:
