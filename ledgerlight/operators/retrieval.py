@@ -20,10 +20,11 @@ def candidates(questions: DataFrame, chunks: DataFrame, scope: Sequence[int] | N
     """question_id, chunk columns, score, rank: the chunks that hold most of a question's distinct terms, ties by id.
 
     The score is the sum of the terms' counts in the chunk. The join is on the term; terms without
-    a question never leave the chunks' side.
+    a question are dropped where the chunk lies, and without any term asked no chunk is read.
     """
     asked = questions.select("question_id", F.explode(F.slice(F.array_distinct(tokens(F.col("text"))), 1, MOST_SEARCH_TERMS)).alias("term"))
     held = chunks.filter(tenant_in(F.col("tenant"), scope)).select("chunk_id", "document_id", "tenant", F.explode(tokens(F.col("text"))).alias("term"))
+    held = held.join(asked.select("term").distinct(), "term", "left_semi")
     counted = held.groupBy("chunk_id", "document_id", "tenant", "term").agg(F.count(F.lit(1)).alias("n"))
     scored = asked.join(counted, "term").groupBy("question_id", "chunk_id", "document_id", "tenant").agg(F.sum("n").alias("score"))
     return ranked(scored, most)
