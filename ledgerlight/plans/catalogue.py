@@ -12,7 +12,7 @@ from ..functions.scope import contained, tenant_in
 from ..operators import analytics, changes, index, ingest, listing, reports, retrieval, topics
 from ..sources import collections as c
 from ..sources.collections import with_ctes
-from ..sources.kept import kept, kept_folder
+from ..sources.kept import kept, kept_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -541,7 +541,8 @@ def index_of(spark, sf):
 
 
 def found(spark, sf):
-    return index.candidates(spark, index_of(spark, sf), c.questions(spark, sf), SCOPE)
+    """Written, as there are few, so that what follows joins them with the texts by sending them there, not the texts to them."""
+    return written(index.candidates(spark, index_of(spark, sf), c.questions(spark, sf), SCOPE), "found")
 
 
 def verified(spark, sf):
@@ -556,7 +557,7 @@ def references(spark, sf):
 def scanned(spark, sf):
     rows = verified(spark, sf).join(c.chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
     rows = rows.withColumn("flags", ingest.injection_flags(text.folded(F.col("text"))))
-    return retrieval.top_references(rows, ingest.suspected(F.col("flags")))
+    return written(retrieval.top_references(rows, ingest.suspected(F.col("flags"))), "scanned")
 
 
 @register("retrieval_passages", f"""SELECT question_id, ref, text[1:300] AS quote, withheld, retained_flagged FROM (SELECT *, count(*) FILTER (WHERE NOT kept) OVER (PARTITION BY question_id) AS withheld,

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text
-from ledgerlight.operators import ingest, topics
+from ledgerlight.operators import index, ingest, retrieval, topics
 
 SOURCES = "source_type string, source_id long, tenant long, source_created_at timestamp_ntz, text string"
 
@@ -65,3 +65,29 @@ def test_signs_leave_no_broken_rule_out(spark):
     rows = [(n, t) for n, ts in broken.items() for t in ts]
     got = spark.createDataFrame(rows, "n string, t string").select("n", "t", ingest.injection_flags(text.folded(F.col("t"))).alias("f"), F.array_compact(F.array(*[F.when(F.rlike("t", F.lit(p)), F.lit(n)) for n, _, p in ingest.RULES])).alias("w")).collect()
     assert all(r["n"] in r["w"] and r["f"] == r["w"] for r in got), [r for r in got if r["f"] != r["w"] or r["n"] not in r["w"]]
+
+
+def test_a_search_shuffles_nothing_but_the_best_of_each_task(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, i // 3, i % 4, f"alpha beta{i % 3} beta0 " * (1 + i % 5)) for i in range(400)], "chunk_id long, document_id long, tenant long, text string")
+    asked = spark.createDataFrame([(i, f"alpha beta{i % 3}") for i in range(6)], "question_id long, text string")
+    index.write_segment(str(tmp_path), chunks)
+    plan = final(index.candidates(spark, str(tmp_path), asked, None, 5))
+    assert set(re.findall(r"Exchange (\w+\([a-z_]+)", plan)) == {"hashpartitioning(question_id"}
+
+
+def test_questions_in_blocks_and_chunks_in_slices(spark, tmp_path, monkeypatch):
+    rows = [(i, i // 3, i % 4 if i % 7 else None, f"alpha beta{i % 3} beta0 " * (1 + i % 5)) for i in range(300)] + [(8, 2, 0, "beta1 beta1"), (9, None, 1, "alpha " * 9)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, tenant long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"alpha beta{i % 3}") for i in range(9)], "question_id string, text string")
+    index.write_segment(str(tmp_path), chunks)
+    monkeypatch.setattr(index, "BLOCK", 2)
+    columns = ["question_id", "chunk_id", "document_id", "tenant", "score", "rank"]
+    got = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    for scope in (None, [0, 3]):
+        assert got(index.candidates(spark, str(tmp_path), asked, scope, 7)) == got(retrieval.candidates(asked, chunks, scope, 7))
+
+
+def test_without_a_term_no_chunk_is_read(spark):
+    chunks = spark.createDataFrame([(1, 1, 0, "alpha")], "chunk_id long, document_id long, tenant long, text string")
+    asked = spark.createDataFrame([(1, "?")], "question_id long, text string")
+    assert "Generate" not in final(retrieval.candidates(asked, chunks))
