@@ -63,14 +63,18 @@ def word_cloud(terms: DataFrame, min_sources: int = 2, limit: int = 50) -> DataF
     return top.crossJoin(peak).select("term", "frequency", "source_count", weight.alias("weight"))  # one row
 
 
+def cloud_sources(terms: DataFrame, cloud: DataFrame) -> DataFrame:
+    """term and source_id (as text) of all facts of the cloud's terms."""
+    return terms.join(F.broadcast(cloud.select("term")), "term").select("term", F.col("source_id").cast("string").alias("source_id"))
+
+
 def source_samples(terms: DataFrame, cloud: DataFrame, most: int = SAMPLE) -> DataFrame:
     """term and source_id: the first `most` sources of each term of the cloud, by id as text.
 
     The rank's limit is applied before the shuffle, so a term's whole list is never gathered. Rows of one source have one rank.
     """
-    pairs = terms.join(F.broadcast(cloud.select("term")), "term").select("term", F.col("source_id").cast("string").alias("source_id"))
     order = Window.partitionBy("term").orderBy("source_id")
-    return pairs.withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= most).select("term", "source_id").distinct()
+    return cloud_sources(terms, cloud).withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= most).select("term", "source_id").distinct()
 
 
 def trend(terms: DataFrame, bucket: str, min_sources: int = 2, limit: int = 20) -> DataFrame:
@@ -99,14 +103,18 @@ def pivoted(filled: DataFrame, plotted: list[str]) -> DataFrame:
     return filled.groupBy("bucket").pivot("term", plotted).agg(F.sum("frequency")).fillna(0)
 
 
-def pair_jaccard(samples: DataFrame, least: float = 0.0) -> DataFrame:
-    """term_a < term_b with the Jaccard similarity of their source samples, for pairs that share a source."""
-    sized = samples.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    held = sized.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("term", "size"))).alias("terms"))  # of a source, at most the terms of the cloud
-    each = held.select(F.posexplode("terms").alias("at", "a"), "terms").select("a", F.explode(F.slice("terms", F.col("at") + 2, F.greatest(F.size("terms"), F.lit(1)))).alias("b"))
-    both = each.groupBy(*[F.col(f"{x}.{y}").alias(f"{y}_{x}") for y in ("term", "size") for x in "ab"]).agg(F.count(F.lit(1)).alias("shared"))
-    similarity = metrics.rounded(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 6)
-    return both.select("term_a", "term_b", similarity.alias("jaccard")).filter(F.col("jaccard") > least)
+def pair_jaccard(sources: DataFrame, least: float = 0.0) -> DataFrame:
+    """term_a < term_b with the Jaccard similarity of all their sources, for pairs that share a source; `sources` may name one more than once.
+
+    A source's terms meet in one row, and pairs are counted before the shuffle, so no term's list is gathered. A term's pair with itself counts its sources.
+    """
+    held = sources.groupBy("source_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))  # of a source, at most the terms of the cloud
+    each = held.select(F.posexplode("terms").alias("at", "term_a"), "terms").select("term_a", F.explode(F.slice("terms", F.col("at") + 1, F.size("terms"))).alias("term_b"))
+    both = each.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("shared"))
+    size = lambda x: F.max(F.when(F.col("term_a") == F.col("term_b"), F.col("shared"))).over(Window.partitionBy(x))
+    like = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    sized = both.withColumns({"size_a": size("term_a"), "size_b": size("term_b")}).filter(F.col("term_a") < F.col("term_b"))
+    return sized.filter(like > least).select("term_a", "term_b", metrics.rounded(like, 6).alias("jaccard"))
 
 
 def clusters(cloud: DataFrame, samples: DataFrame) -> DataFrame:

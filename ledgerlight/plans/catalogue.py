@@ -351,7 +351,8 @@ def word_cloud_weight(spark, sf):
     return cloud(spark, sf)[1].select("term", "weight")
 
 
-SAMPLE_SQL = f"SELECT term, source_id FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY source_id) AS r FROM (SELECT DISTINCT term, source_id::VARCHAR AS source_id FROM wf WHERE tenant IN {SCOPE_SQL} AND term IN (SELECT term FROM ({CLOUD_SQL})))) WHERE r <= 25"
+SOURCES_SQL = f"SELECT DISTINCT term, source_id::VARCHAR AS source_id FROM wf WHERE tenant IN {SCOPE_SQL} AND term IN (SELECT term FROM ({CLOUD_SQL}))"
+SAMPLE_SQL = f"SELECT term, source_id FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY source_id) AS r FROM ({SOURCES_SQL})) WHERE r <= 25"
 
 
 @register("word_cloud_sources", SAMPLE_SQL, "wf")
@@ -359,10 +360,10 @@ def word_cloud_sources(spark, sf):
     return topics.source_samples(*cloud(spark, sf))
 
 
-@register("term_pair_jaccard", f"""SELECT a.term AS term_a, b.term AS term_b, {r("count(*)::DOUBLE / (any_value(sa.n) + any_value(sb.n) - count(*))", 6)} AS jaccard FROM ({SAMPLE_SQL}) a JOIN ({SAMPLE_SQL}) b ON a.source_id = b.source_id AND a.term < b.term
- JOIN (SELECT term, count(*) AS n FROM ({SAMPLE_SQL}) GROUP BY 1) sa ON sa.term = a.term JOIN (SELECT term, count(*) AS n FROM ({SAMPLE_SQL}) GROUP BY 1) sb ON sb.term = b.term GROUP BY 1, 2""", "wf")
+@register("term_pair_jaccard", f"""SELECT a.term AS term_a, b.term AS term_b, {r("count(*)::DOUBLE / (any_value(sa.n) + any_value(sb.n) - count(*))", 6)} AS jaccard FROM ({SOURCES_SQL}) a JOIN ({SOURCES_SQL}) b ON a.source_id = b.source_id AND a.term < b.term
+ JOIN (SELECT term, count(*) AS n FROM ({SOURCES_SQL}) GROUP BY 1) sa ON sa.term = a.term JOIN (SELECT term, count(*) AS n FROM ({SOURCES_SQL}) GROUP BY 1) sb ON sb.term = b.term GROUP BY 1, 2""", "wf")
 def term_pair_jaccard(spark, sf):
-    return topics.pair_jaccard(topics.source_samples(*cloud(spark, sf)))
+    return topics.pair_jaccard(topics.cloud_sources(*cloud(spark, sf)))
 
 
 @register("topic_clusters")

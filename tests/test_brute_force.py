@@ -186,3 +186,14 @@ def test_topic_clusters(spark):
         samples[r["term"]].append(r["source_id"])
     got = {tuple(r) for r in catalogue.topic_clusters(spark, SF).select("cluster", "label", "term", F.col("source_count")).collect()}
     assert got == clusters(cloud, samples)
+
+
+def test_term_pairs_compare_all_sources(spark):
+    held = defaultdict(set)
+    cloud = {r["term"] for r in catalogue.word_cloud(spark, SF).collect()}
+    for r in catalogue.terms(spark, SF).filter(F.col("tenant").isin(catalogue.SCOPE)).collect():
+        if r["term"] in cloud:
+            held[r["term"]].add(str(r["source_id"]))
+    assert max(map(len, held.values())) > 25
+    want = {(a, b): len(held[a] & held[b]) / len(held[a] | held[b]) for a in held for b in held if a < b and held[a] & held[b]}
+    assert {(r["term_a"], r["term_b"]): r["jaccard"] for r in catalogue.term_pair_jaccard(spark, SF).collect()} == {k: math.floor(x * 1e6 + 0.5) / 1e6 for k, x in want.items()}

@@ -47,6 +47,22 @@ def test_the_first_terms_are_found_without_a_shuffle_by_source(spark):
     assert frequent(1) == frequent(2) == [("beta0", 54), ("alpha", 40), ("beta1", 13)] and frequent(20) == [("beta0", 54), ("alpha", 40)]
 
 
+def test_term_pairs_are_counted_over_all_sources(spark):
+    """Sources 0 to 89 have alpha, 60 to 119 beta (each of these twice), 0 and 119 gamma, none of them delta: the first 25 by id say otherwise."""
+    has = [("alpha", range(90)), ("beta", [*range(60, 120)] * 2), ("gamma", [0, 119]), ("delta", [500])]
+    sources = spark.createDataFrame([(t, str(i)) for t, ids in has for i in ids], "term string, source_id string")
+    pairs = topics.pair_jaccard(sources)
+    assert {tuple(r) for r in pairs.collect()} == {("alpha", "beta", 0.25), ("alpha", "gamma", round(1 / 91, 6)), ("beta", "gamma", round(1 / 61, 6))}
+    assert {tuple(r) for r in topics.pair_jaccard(sources, 0.2).collect()} == {("alpha", "beta", 0.25)}
+    assert set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)#\d+(?:, ([a-z_]+))?", final(pairs))) == {("source_id", ""), ("term_a", "term_b"), ("term_a", ""), ("term_b", "")}
+
+
+def test_a_pair_that_shares_one_source_of_millions_is_kept(spark):
+    ids = lambda term, first, n: spark.range(first, first + n).select(F.lit(term).alias("term"), F.col("id").cast("string").alias("source_id"))
+    pairs = topics.pair_jaccard(ids("alpha", 0, 1_100_000).unionByName(ids("beta", 1_099_999, 1_100_000)))
+    assert [tuple(r) for r in pairs.collect()] == [("alpha", "beta", 0.0)]
+
+
 def test_a_text_is_cleaned_once_for_all_rules(spark):
     df = spark.createDataFrame([("x",)], "t string").select(ingest.injection_flags(text.folded(F.col("t"))))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
